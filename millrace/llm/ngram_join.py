@@ -105,7 +105,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _signatures(width: int, percent: int, frequent: np.ndarray | None):
-    """doc_id, n, sig, items: the prefix, or the whole set where frequent is None."""
+    """doc_id, n, sig, bits, items: the prefix, or the whole set where frequent is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -113,12 +113,12 @@ def _signatures(width: int, percent: int, frequent: np.ndarray | None):
             sets = [shingles(t, known, width) for t in batch.column("text").to_pylist()]
             sigs = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             items = sets if frequent is None else [prefix(s, frequent, percent) for s in sets]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), _lists(items)], names=["doc_id", "n", "sig", "items"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), _lists([bitmap(x) for x in sets]), _lists(items)], names=["doc_id", "n", "sig", "bits", "items"])
 
     return run
 
 
-_SIGNATURES = "doc_id long, n long, sig binary, items array<long>"
+_SIGNATURES = "doc_id long, n long, sig binary, bits array<long>, items array<long>"
 
 
 def _sets(width: int):
@@ -126,7 +126,7 @@ def _sets(width: int):
         known = WordHashes()
         for batch in slices(batches):
             sets = [shingles(t, known, width) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists([bitmap(s) for s in sets]), _lists(sets)], names=["id", "n", "bits", "items"])
+            yield pa.record_batch([batch.column("doc_id"), _lists(sets)], names=["id", "items"])
 
     return run
 
@@ -168,11 +168,19 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return 100 * bound >= percent * (n + m - bound)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bit counts first, then the exact overlap."""
-    both = pairs.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.id")).join(sets.alias("y"), F.col("p.b") == F.col("y.id")).where(_may_link("x", "y", percent))
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_ids: int) -> DataFrame:
+    """The pairs (a, b) that link: bit counts first, then the exact overlap.
+
+    Only texts of pairs that the bit counts let through are made into sets again.
+    """
+    met = pairs.alias("p").join(reps.alias("x"), F.col("p.a") == F.col("x.id")).join(reps.alias("y"), F.col("p.b") == F.col("y.id"))
+    allowed = stored(met.where(_may_link("x", "y", percent)).select("a", "b"), "allowed")
+    ids = stored(allowed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    near = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    sets = docs.join(near, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, items array<long>")
+    both = allowed.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.id")).join(sets.alias("y"), F.col("p.b") == F.col("y.id"))
     common = F.size(F.array_intersect("x.items", "y.items"))
-    return both.where(100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)).select("a", "b")
+    return both.where(100 * common >= percent * (F.size("x.items") + F.size("y.items") - common)).select("a", "b").distinct()
 
 
 def frequent_shingles(docs: DataFrame, width: int, one_in: int, least: int, most: int) -> np.ndarray:
@@ -189,14 +197,17 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int, least: int, most
 def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 512, hub_rounds: int = 3, one_in: int = 16, least: int = 4, most: int = 200_000, broadcast_ids: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: groups of texts linked at percent or more.
 
-    broadcast_ids: up to so many ids of compared texts are broadcast (8 bytes
-    each); beyond it their texts are found by a shuffled join.
+    broadcast_ids: up to so many ids of compared texts are broadcast, at 8 bytes
+    each; beyond it their texts are found by a shuffled join.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_shingles(docs, width, one_in, least, most)
     signed = stored(docs.mapInArrow(_signatures(width, percent, frequent), _SIGNATURES), "shingles")
     usable = signed.where("sig is not null and doc_id is not null")
-    first = usable.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "items")).alias("r"))
+    # Classes of equal sets: all that the later steps need, and the prefixes, each once.
+    slim = usable.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bits")).alias("r"))
+    reps = stored(slim.select("sig", F.col("r.doc_id").alias("id"), "r.n", "r.bits"), "classes")
+    first = usable.groupBy("sig").agg(F.min(F.struct("doc_id", "items")).alias("r"))
 
     # Rows of prefix shingles that two classes or more have, with the bucket's hub.
     rows = first.select(F.explode("r.items").alias("item"), F.col("r.doc_id").alias("id"))
@@ -204,13 +215,8 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, bl
     shared = rows.select("item", "id", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"), F.lead("id").over(bucket).alias("after"))
     shared = stored(shared.where("hub <> id or after <> id").select("item", "id", "hub"), "shared")
 
-    ids = stored(shared.select("id").distinct(), "ids")
-    near = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    compared = docs.join(near.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = stored(compared.mapInArrow(_sets(width), "id long, n long, bits array<long>, items array<long>"), "sets")
-
-    pairs = shared.where("hub <> id").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stored(verified(pairs, sets, percent), "star-links")
+    compare = lambda pairs: verified(pairs, reps, docs, percent, width, broadcast_ids)
+    links = stored(compare(shared.where("hub <> id").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()), "star-links")
     for turn in range(1, hub_rounds + 1):
         belongs = stored(components(links), "components")
         members = shared.select("item", "id").join(belongs, "id", "left").select("item", "id", F.coalesce("component", "id").alias("component"))
@@ -221,18 +227,18 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, bl
             pairs = members.where("component <> hub_component").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
             shared = members.select("item", "id")
         else:
-            pairs = _tiles(members, sets, percent, block)
-        links = stored(links.unionByName(verified(pairs, sets, percent)), "links-so-far")
+            pairs = _tiles(members, reps, percent, block)
+        links = stored(links.unionByName(compare(pairs)), "links-so-far")
     belongs = components(links)
-    of_class = first.select("sig", F.col("r.doc_id").alias("id")).join(belongs, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
+    of_class = reps.select("sig", "id").join(belongs, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
     # Rows that repeat an id are one document: their classes are one group.
     return _joined(signed, of_class)
 
 
-def _tiles(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _tiles(members: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of different components that sizes and bit counts allow, met in tiles."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    rows = members.join(sets.select("id", "n", "bits"), "id").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
+    rows = members.join(reps.select("id", "n", "bits"), "id").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).withColumn("band", band)
     x = rows.alias("x")
