@@ -194,7 +194,7 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int, least: int, most
     return np.sort(counts.orderBy(F.desc("n"), "item").limit(most).select("item").toArrow().column("item").to_numpy())
 
 
-def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 512, hub_rounds: int = 2, one_in: int = 16, least: int = 4, most: int = 200_000, broadcast_ids: int = 4_000_000) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 512, hub_rounds: int = 5, one_in: int = 16, least: int = 4, most: int = 200_000, broadcast_ids: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: groups of texts linked at percent or more.
 
     broadcast_ids: up to so many ids of compared texts are broadcast, at 8 bytes
