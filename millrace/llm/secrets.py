@@ -30,7 +30,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to 40 characters before the candidate, the candidate, up to 24 after it.
+from millrace.llm.shared import drawn, stored
+
+#: A character of a key.
 KEY = r"[A-Za-z0-9+/_=.\-]"
 BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
 #: A run of 16 or more key characters with a digit in it, or a shorter one that is assigned to a telling name.
@@ -116,8 +118,8 @@ def prototypes(spark: SparkSession, rows: int = 400, seed: int = 7) -> DataFrame
 
 def train(found: DataFrame, label_rows: int = 20_000, trees: int = 20) -> PipelineModel:
     """The forest, from up to label_rows labelled candidates of either label and the prototypes."""
-    own = labelled(described(found.select("raw").distinct())).where("label is not null")
-    ranked = [own.where(F.col("label") == y).orderBy(F.xxhash64("raw")).limit(label_rows) for y in (0.0, 1.0)]
+    own = stored(labelled(described(found.select("raw").distinct())).where("label is not null"), "labelled")
+    ranked = [drawn(own.where(F.col("label") == y), F.col("raw"), label_rows) for y in (0.0, 1.0)]
     rows = ranked[0].unionByName(ranked[1]).unionByName(labelled(described(prototypes(found.sparkSession))).where("label is not null"))
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=8, seed=1)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows.select(*FEATURES, "label").coalesce(4))
@@ -125,8 +127,6 @@ def train(found: DataFrame, label_rows: int = 20_000, trees: int = 20) -> Pipeli
 
 def scan(docs: DataFrame, model: PipelineModel | None = None, threshold: float = 0.5, label_rows: int = 20_000) -> DataFrame:
     """doc_id, secret, raw, places, score, is_secret of every candidate."""
-    from millrace.llm.shared import stored
-
     found = stored(candidates(docs), "candidates")
     model = train(found, label_rows) if model is None else model
     score = F.get(vector_to_array("probability"), F.lit(1))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,5 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def crc_fold(key: int | None) -> int:
-    return zlib.crc32(str(key).encode()) % 5
+def drawn(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """All rows if there are at most `rows`, else about so many, by hash of the key."""
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit("drawn")), F.lit(1 << 30)) < (1 << 30) * rows // n)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import held_out, slices
+from millrace.llm.shared import drawn, held_out, slices
 
 _WORDS = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that may be terms; shorter ones are too common.
@@ -182,7 +182,8 @@ def _vote(terms: list[str]):
 def train(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> tuple[list[str], np.ndarray]:
     """Terms and linear weights, from labelled documents that are not held out."""
     truth = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    taught = truth.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
+    truth = truth.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    taught = drawn(truth, F.col("doc_id"), label_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(taught), "doc_id").select("text", "toxic")
     terms = lexicon(rows)
     found = rows.mapInArrow(_vote(terms), "toxic int, votes array<int>").toArrow()
