@@ -10,8 +10,9 @@ a sample and changes only the cost, never the result.
 Members of a prefix shingle are first held against one hub each, so a group of
 near copies costs a comparison a member and not one a pair. What then still
 lies in different components meets in tiles: (shingle, size band, two salt
-blocks). In a tile, parity bitmaps of the sets bound the overlap from above by
-their bit counts; pairs that pass are compared by exact intersection.
+blocks). In a tile, sizes and the places of the common shingle bound the
+overlap; for each pair that passes, once, parity bitmaps of the sets bound it
+by their bit counts, and what is left is compared by exact intersection.
 
 Defined results: a null or blank text has no shingle and links with nothing; a
 text under the shingle width is one shingle of all its words; rows that repeat
@@ -35,8 +36,10 @@ from millrace.llm.shared import slices, stored
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _R23, _R41, _R29 = np.uint64(23), np.uint64(41), np.uint64(29)
-#: 64-bit words of a bitmap signature.
-BIT_WORDS = 32
+#: 64-bit words of a bitmap signature, and of the second one that sets of more
+#: than LONG shingles have. From about 36,000 shingles on that one is too full
+#: to reject anything either, and such pairs go straight to the exact overlap.
+BIT_WORDS, WIDE_WORDS, LONG = 32, 256, 4096
 
 
 class WordHashes(dict):
@@ -92,9 +95,9 @@ def prefix(found: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return plain[:p]
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
+def bitmap(found: np.ndarray, words: int = BIT_WORDS) -> np.ndarray:
     """Parity of the set's elements on each of the bitmap's positions."""
-    bits = np.bincount((found & (64 * BIT_WORDS - 1)), minlength=64 * BIT_WORDS) & 1
+    bits = np.bincount((found & (64 * words - 1)), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -104,21 +107,21 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
-def _signatures(width: int, percent: int, frequent: np.ndarray | None):
-    """doc_id, n, sig, bits, items: the prefix, or the whole set where frequent is None."""
+def _signatures(width: int, percent: int, frequent: np.ndarray):
+    """doc_id, n, sig, bits, wide and items, the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches):
             sets = [shingles(t, known, width) for t in batch.column("text").to_pylist()]
             sigs = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            items = sets if frequent is None else [prefix(s, frequent, percent) for s in sets]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), _lists([bitmap(x) for x in sets]), _lists(items)], names=["doc_id", "n", "sig", "bits", "items"])
+            items = [prefix(s, frequent, percent) for s in sets]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), _lists([bitmap(x) for x in sets]), _lists([bitmap(x, WIDE_WORDS) if len(x) > LONG else x[:0] for x in sets]), _lists(items)], names=["doc_id", "n", "sig", "bits", "wide", "items"])
 
     return run
 
 
-_SIGNATURES = "doc_id long, n long, sig binary, bits array<long>, items array<long>"
+_SIGNATURES = "doc_id long, n long, sig binary, bits array<long>, wide array<long>, items array<long>"
 
 
 def _sets(width: int):
@@ -164,19 +167,29 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     """By sizes and bit counts: the overlap bound is half of what the differing bits leave."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}.bits", i).bitwiseXOR(F.get(f"{b}.bits", i))) for i in range(BIT_WORDS)])
-    bound = F.least(n, m, F.floor((n + m - apart) / 2))
-    return 100 * bound >= percent * (n + m - bound)
+    wide = F.aggregate(F.zip_with(f"{a}.wide", f"{b}.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    within = lambda apart: (100 + percent) * F.least(n, m, F.floor((n + m - apart) / 2)) >= percent * (n + m)
+    return F.when(~within(apart), False).when((n > LONG) & (m > LONG), within(wide)).otherwise(True)
+
+
+def _ids(pairs: DataFrame, name: str, broadcast_ids: int) -> DataFrame:
+    """The ids in pairs, once each, broadcast if there are at most broadcast_ids."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= broadcast_ids else ids
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_ids: int) -> DataFrame:
     """The pairs (a, b) that link: bit counts first, then the exact overlap.
 
-    Only texts of pairs that the bit counts let through are made into sets again.
+    Only the bitmaps of sets that met are joined to pairs, and only texts of
+    pairs that the bit counts let through are made into sets again.
     """
-    met = pairs.alias("p").join(reps.alias("x"), F.col("p.a") == F.col("x.id")).join(reps.alias("y"), F.col("p.b") == F.col("y.id"))
+    pairs = stored(pairs, "pairs")
+    near = _ids(pairs, "id", broadcast_ids)
+    signs = stored(reps.select("id", "n", "bits", "wide").join(near, "id", "left_semi"), "signs")
+    met = pairs.alias("p").join(signs.alias("x"), F.col("p.a") == F.col("x.id")).join(signs.alias("y"), F.col("p.b") == F.col("y.id"))
     allowed = stored(met.where(_may_link("x", "y", percent)).select("a", "b"), "allowed")
-    ids = stored(allowed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    near = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    near = _ids(allowed, "doc_id", broadcast_ids)
     sets = docs.join(near, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, items array<long>")
     both = allowed.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.id")).join(sets.alias("y"), F.col("p.b") == F.col("y.id"))
     common = F.size(F.array_intersect("x.items", "y.items"))
@@ -184,50 +197,64 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, w
 
 
 def frequent_shingles(docs: DataFrame, width: int, one_in: int, least: int, most: int) -> np.ndarray:
-    """Shingles in at least `least` distinct sets of a sample; the `most` most frequent.
+    """Shingles in at least `least` sets of a sample; at most `most`, the most frequent.
 
     Only the order of shingles depends on it, so neither bound can lose a link.
     """
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
-    sets = sample.mapInArrow(_signatures(width, 0, None), _SIGNATURES).where("sig is not null").dropDuplicates(["sig"])
-    counts = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return np.sort(counts.orderBy(F.desc("n"), "item").limit(most).select("item").toArrow().column("item").to_numpy())
+    sets = sample.mapInArrow(_sets(width), "id long, items array<long>")
+    counts = stored(sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "frequent")
+    floor, kept = None, 0
+    for n, rows in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
+        if (kept := kept + rows) > most:
+            break
+        floor = n
+    if floor is None:
+        return np.empty(0, np.int64)
+    return np.sort(counts.where(F.col("n") >= floor).select("item").toArrow().column("item").to_numpy())
 
 
-def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 512, hub_rounds: int = 5, one_in: int = 16, least: int = 4, most: int = 200_000, broadcast_ids: int = 4_000_000) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 512, hub_rounds: int = 2, one_in: int = 16, least: int = 4, most: int = 1_000_000, broadcast_ids: int = 4_000_000, broadcast_copies: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: groups of texts linked at percent or more.
 
-    broadcast_ids: up to so many ids of compared texts are broadcast, at 8 bytes
-    each; beyond it their texts are found by a shuffled join.
+    broadcast_ids: up to so many ids of compared sets are broadcast, at 8 bytes
+    each; beyond it their rows are found by a shuffled join. broadcast_copies:
+    the same for the ids and 16-byte signatures of exact copies.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_shingles(docs, width, one_in, least, most)
     signed = stored(docs.mapInArrow(_signatures(width, percent, frequent), _SIGNATURES), "shingles")
     usable = signed.where("sig is not null and doc_id is not null")
     # Classes of equal sets: all that the later steps need, and the prefixes, each once.
-    slim = usable.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bits")).alias("r"))
-    reps = stored(slim.select("sig", F.col("r.doc_id").alias("id"), "r.n", "r.bits"), "classes")
-    first = usable.groupBy("sig").agg(F.min(F.struct("doc_id", "items")).alias("r"))
+    slim = usable.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bits", "wide")).alias("r"))
+    reps = stored(slim.select("sig", F.col("r.doc_id").alias("id"), "r.n", "r.bits", "r.wide"), "classes")
+    copies = stored(usable.select("sig", "doc_id").join(reps.select("sig", "id"), "sig").where("doc_id <> id").select("sig", "doc_id").distinct(), "copies")
+    known = F.broadcast(copies) if copies.count() <= broadcast_copies else copies
+    first = usable.join(known, ["sig", "doc_id"], "left_anti")
 
     # Rows of prefix shingles that two classes or more have, with the bucket's hub.
-    rows = first.select(F.explode("r.items").alias("item"), F.col("r.doc_id").alias("id"))
+    place = F.shiftleft(F.col("n"), 32) + F.col("pos")
+    rows = first.select("doc_id", "n", F.posexplode("items").alias("pos", "item")).select("item", F.col("doc_id").alias("id"), place.alias("place"))
     bucket = Window.partitionBy("item").orderBy("id")
-    shared = rows.select("item", "id", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"), F.lead("id").over(bucket).alias("after"))
-    shared = stored(shared.where("hub <> id or after <> id").select("item", "id", "hub"), "shared")
+    hub = F.first(F.struct("id", "place")).over(bucket.rowsBetween(Window.unboundedPreceding, 0))
+    shared = rows.select("item", "id", "place", hub.alias("hub"), F.lead("id").over(bucket).alias("after")).where("hub.id <> id or after <> id")
+    unpacked = lambda c: [F.shiftright(c, 32).cast("int").alias("n"), c.bitwiseAND((1 << 32) - 1).cast("int").alias("pos")]
+    shared = stored(shared.select("item", "id", *unpacked(F.col("place")), F.struct(F.col("hub.id").alias("id"), *unpacked(F.col("hub.place"))).alias("hub")), "shared")
 
     compare = lambda pairs: verified(pairs, reps, docs, percent, width, broadcast_ids)
-    links = stored(compare(shared.where("hub <> id").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()), "star-links")
+    of_hubs = lambda met: met.where(_may_meet(F.struct("n", "pos"), F.col("hub"), percent)).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+    links = stored(compare(of_hubs(shared.where("hub.id <> id"))), "star-links")
+    shared = shared.select("item", "id", "n", "pos")
     for turn in range(1, hub_rounds + 1):
         belongs = stored(components(links), "components")
-        members = shared.select("item", "id").join(belongs, "id", "left").select("item", "id", F.coalesce("component", "id").alias("component"))
-        state = members.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")).alias("h"))
-        shared_open = state.where("low <> high")
-        members = stored(members.join(shared_open, "item").select("item", "id", "component", "m", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component")), "open")
+        members = shared.join(belongs, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        state = members.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "pos", "component")).alias("hub"))
+        members = stored(members.join(state.where("low <> high").select("item", "m", "hub"), "item"), "open")
         if turn < hub_rounds:
-            pairs = members.where("component <> hub_component").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-            shared = members.select("item", "id")
+            pairs = of_hubs(members.where("component <> hub.component"))
+            shared = members.select("item", "id", "n", "pos")
         else:
-            pairs = _tiles(members, reps, percent, block)
+            pairs = _tiles(members, percent, block)
         links = stored(links.unionByName(compare(pairs)), "links-so-far")
     belongs = components(links)
     of_class = reps.select("sig", "id").join(belongs, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
@@ -235,17 +262,34 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, bl
     return _joined(signed, of_class)
 
 
-def _tiles(members: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of different components that sizes and bit counts allow, met in tiles."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    rows = members.join(reps.select("id", "n", "bits"), "id").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
+def _may_meet(x: Column, y: Column, percent: int) -> Column:
+    """By sizes and the places of a common shingle, if it is the first that both have.
+
+    All that two sets share lies from their first common shingle on, in the
+    order of shingles. Each linking pair meets at that shingle too, so a row
+    may be dropped by it without losing the pair.
+    """
+    rest = F.least(x["n"] - x["pos"], y["n"] - y["pos"]).cast("long")
+    return (100 + percent) * rest >= percent * (x["n"].cast("long") + y["n"])
+
+
+def _tiles(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of different components that sizes and places allow, met in tiles.
+
+    The smaller set of a pair comes from its own size band, the larger from the
+    same or the next one. Tile rows carry no bitmaps: those are joined to the
+    distinct pairs, once each.
+    """
+    rows = members.select("item", "id", "n", "pos", "component", F.ceil(F.col("m") / block).cast("int").alias("parts"))
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).withColumn("band", band)
-    x = rows.alias("x")
-    y = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1))).alias("y")
+    rows = rows.select("item", "id", "n", "pos", "component", "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    x = rows.where((100 + percent) * (F.col("n") - F.col("pos")).cast("long") >= 2 * percent * F.col("n").cast("long")).alias("x")
+    y = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
     meet = reduce(lambda a, b: a & b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("item", "p", "q", "band")])
-    ordered = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    return x.join(y, meet & ordered & _may_link("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    ordered = ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))) & (F.col("x.component") != F.col("y.component"))
+    allowed = _may_meet(F.struct("x.n", "x.pos"), F.struct("y.n", "y.pos"), percent)
+    return x.join(y, meet & ordered & allowed).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def _joined(signed: DataFrame, of_class: DataFrame) -> DataFrame:
