@@ -108,7 +108,7 @@ class Voters:
             if len(out) > 3:
                 out.append(self.first + 3)
         letters = len(text) - text.count(" ")
-        if letters > 40 and sum(map(str.isupper, text[:4000])) * 2 > min(letters, 4000):
+        if letters > 40 and sum(map(str.isupper, text)) * 2 > letters:
             out.append(self.first + 1)
         if text.count("!") * 20 > letters:
             out.append(self.first + 2)
