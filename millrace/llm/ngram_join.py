@@ -45,7 +45,7 @@ BIT_WORDS, WIDE_WORDS, LONG = 32, 256, 4096
 class WordHashes(dict):
     """Hash of a word, remembered; forgets all when it has grown large."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most = most
 

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +48,30 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(True))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches, so that few texts are Python strings at a time."""
+def _text_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of the strings of each row, those inside structs included."""
+    if pa.types.is_struct(column.type):
+        return sum((_text_bytes(pc.struct_field(column, i)) for i in range(column.type.num_fields)), np.zeros(len(column), np.int64))
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.zeros(len(column), np.int64)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches, so that few texts are Python strings at a time.
+
+    A slice has at most `rows` rows and `size` bytes of text, or one row. What
+    the task's buffers took goes back at the end: Python workers live on.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(sum(map(_text_bytes, batch.columns), np.zeros(batch.num_rows, np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = max(at + 1, min(at + rows, full))
+            yield batch.slice(at, stop - at)
+            at = stop
+    pa.default_memory_pool().release_unused()
 
 
 def drawn(df: DataFrame, key: Column, rows: int) -> DataFrame:

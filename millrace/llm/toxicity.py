@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic].update(terms_of(set(_WORDS.findall((text or "").lower()))))
             counts[toxic][""] += 1  # documents of the class
-        if len(counts[0]) + len(counts[1]) > 300_000:
+        if len(counts[0]) + len(counts[1]) > 100_000:
             yield from out()
     yield from out()
 
@@ -222,17 +223,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, model
 def without_toxic(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> DataFrame:
     """The documents that are not called toxic, with the columns of docs, in one pass."""
     terms, weights = train(docs, labels, label_rows)
-    scores = _flags(terms, weights)
-    wide = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    scores = _flags(terms, weights, next(i for i, c in enumerate(docs.columns) if c.lower() == "text"))
+    wide = docs.select(F.struct(*docs.columns).alias("row"))
     kind = wide.schema["row"].dataType.simpleString()
     return wide.mapInArrow(scores, f"row {kind}").select("row.*")
 
 
-def _flags(terms: list[str], weights: np.ndarray):
+def _flags(terms: list[str], weights: np.ndarray, place: int):
+    """The rows that are not called toxic; the text is field `place` of a row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(terms)
         for batch in slices(batches):
-            keep = [not len(weights) or weights[-1] + weights[voters.votes(t)].sum() < 0 for t in batch.column("text").to_pylist()]
+            texts = pc.struct_field(batch.column("row"), place).to_pylist()
+            keep = [not len(weights) or weights[-1] + weights[voters.votes(t)].sum() < 0 for t in texts]
             yield pa.record_batch([batch.column("row").filter(pa.array(keep, pa.bool_()))], names=["row"])
 
     return run
