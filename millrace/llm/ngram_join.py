@@ -297,7 +297,10 @@ def _joined(signed: DataFrame, of_class: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
+def keep_first(docs: DataFrame, broadcast_ids: int = 4_000_000, **how) -> DataFrame:
     """The documents without all but the smallest doc_id of each group. Rows with a null id stay."""
-    rest = near_duplicate_groups(docs, **how).where("doc_id <> component_id").select("doc_id")
+    groups = near_duplicate_groups(docs, **how).where("doc_id <> component_id")
+    rest = stored(groups.select("doc_id").distinct(), "rest")
+    if rest.count() <= broadcast_ids:  # then whole texts need no shuffle
+        rest = F.broadcast(rest)
     return docs.join(rest, "doc_id", "left_anti").select(docs.columns)
