@@ -126,11 +126,30 @@ class Voters:
         return False
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8, trust: float = 0.9) -> np.ndarray:
+def _blocks(votes: np.ndarray, rows: int = 2048) -> Iterator[tuple[slice, np.ndarray]]:
+    """Blocks of votes in double precision, so that no whole copy is made."""
+    for at in range(0, len(votes), rows):
+        yield slice(at, at + rows), votes[at : at + rows].astype(float)
+
+
+def _times(votes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.concatenate([v @ weights for _, v in _blocks(votes)] or [np.zeros(0)])
+
+
+def _sums(votes: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return sum((part[at] @ v for at, v in _blocks(votes)), np.zeros(votes.shape[1]))
+
+
+def _gram(votes: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return sum(((v * part[at][:, None]).T @ v for at, v in _blocks(votes)), np.zeros((votes.shape[1],) * 2))
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, times: np.ndarray, rounds: int = 8, trust: float = 0.9) -> np.ndarray:
     """Posterior that each row is toxic, from its votes (0/1 matrix) and noisy labels.
 
-    The labels vote too, with accuracy `trust`. A voter that does not fire
-    abstains; a row on which none fires has one vote for clean. Voters that fire together inside
+    A row stands for `times` documents of equal votes and label. The labels vote
+    too, with accuracy `trust`. A voter that does not fire abstains; a row on
+    which none fires has one vote for clean. Voters that fire together inside
     a class count less: the log odds of each is divided by one plus the sum of
     its positive correlations with the others.
     """
@@ -138,33 +157,32 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8, trust: f
     given = np.log(q / (1 - q))
     silent = votes.sum(1) == 0
     for _ in range(rounds):
-        on = (votes * q[:, None]).sum(0) + 0.5
-        off = (votes * (1 - q)[:, None]).sum(0) + 0.5
-        a, b = on / (q.sum() + 1), off / ((1 - q).sum() + 1)
+        parts = q * times, (1 - q) * times
+        fired = [_sums(votes, part) for part in parts]
+        a, b = ((on + 0.5) / (part.sum() + 1) for on, part in zip(fired, parts, strict=True))
         weight = np.zeros(len(a))
-        for part, rate in ((q, a), (1 - q, b)):
-            centred = (votes - rate) * np.sqrt(part)[:, None]
-            cov = centred.T @ centred / max(part.sum(), 1e-9)
+        for part, on, rate in zip(parts, fired, (a, b), strict=True):
+            off = np.outer(on, rate)
+            cov = (_gram(votes, part) - off - off.T + np.outer(rate, rate) * part.sum()) / max(part.sum(), 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
             corr = np.clip(cov / sd[:, None] / sd[None, :], 0, 1)
             np.fill_diagonal(corr, 0)
             weight = np.maximum(weight, corr.sum(1))
-        discount = 1 / (1 + weight)
-        quiet = np.log(((q * silent).sum() + 0.5) / (q.sum() + 1)) - np.log((((1 - q) * silent).sum() + 0.5) / ((1 - q).sum() + 1))
-        log_odds = given + votes @ (np.log(a / b) * discount) + silent * quiet
+        quiet = [np.log(((part * silent).sum() + 0.5) / (part.sum() + 1)) for part in parts]
+        log_odds = given + _times(votes, np.log(a / b) / (1 + weight)) + silent * (quiet[0] - quiet[1])
         q = np.clip(1 / (1 + np.exp(-np.clip(log_odds, -30, 30))), 1e-4, 1 - 1e-4)
     return q
 
 
-def linear_classifier(votes: np.ndarray, posterior: np.ndarray, rounds: int = 30, penalty: float = 1.0) -> np.ndarray:
+def linear_classifier(votes: np.ndarray, posterior: np.ndarray, times: np.ndarray, rounds: int = 30, penalty: float = 1.0) -> np.ndarray:
     """Weights (bias last) of a logistic regression on posterior labels, by Newton steps."""
-    x = np.concatenate([votes, np.ones((len(votes), 1))], 1)
+    x = np.concatenate([votes, np.ones((len(votes), 1), votes.dtype)], 1)
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (posterior - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(_times(x, w), -30, 30)))
+        step = np.linalg.solve(_gram(x, times * p * (1 - p)) + np.diag(ridge), _sums(x, times * (posterior - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -187,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> tuple
     taught = drawn(truth, F.col("doc_id"), label_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(taught), "doc_id").select("text", "toxic")
     terms = lexicon(rows)
-    found = rows.mapInArrow(_vote(terms), "toxic int, votes array<int>").toArrow()
+    found = rows.mapInArrow(_vote(terms), "toxic int, votes array<int>").groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("times")).orderBy("toxic", "votes").toArrow()
     y = found.column("toxic").to_numpy().astype(float)
     if not len(y):
         return terms, np.zeros(0)
@@ -196,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> tuple
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
     votes[np.repeat(np.arange(len(y)), sizes), lists.flatten().to_numpy()] = 1
-    return terms, linear_classifier(votes, label_model(votes, y))
+    times = found.column("times").to_numpy().astype(float)
+    return terms, linear_classifier(votes, label_model(votes, y, times), times)
 
 
 def _score(terms: list[str], weights: np.ndarray):
