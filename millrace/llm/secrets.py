@@ -35,9 +35,9 @@ from millrace.llm.shared import drawn, stored
 #: A character of a key.
 KEY = r"[A-Za-z0-9+/_=.\-]"
 BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
-#: A run of 16 or more key characters with a digit in it, or a shorter one that is assigned to a telling name.
-RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_=.\-]{0,60}[0-9])[A-Za-z0-9+/_\-][A-Za-z0-9+/_=.\-]{14,511}[A-Za-z0-9+/_=\-]"
-ASSIGNED = r"""(?i:(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[:=]\s{0,3}["']?[^\s"',;]{6,512})"""
+#: A whole run, however long, of 16 or more key characters with a digit in it, or a shorter one that is assigned to a telling name.
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_=.\-]{0,60}[0-9])[A-Za-z0-9+/_\-][A-Za-z0-9+/_=.\-]{14,}[A-Za-z0-9+/_=\-]"
+ASSIGNED = r"""(?i:(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[:=]\s{0,3}["']?[^\s"',;]{6,})"""
 CANDIDATE = f"{BLOCK}|{ASSIGNED}|{RUN}"
 _NAME = r"""(?i)^(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[:=]\s{0,3}["']?"""
 #: Public key formats that teach "secret".

@@ -157,6 +157,13 @@ def test_secrets(spark):
     assert clean[1] == "key [SECRET] here" and clean[2] == rows[1][1] and clean[3] == "password=[SECRET] end" and clean[4] is None and clean[6].count("[SECRET]") == 2
 
 
+def test_long_secrets_are_redacted_to_their_end(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(5000))
+    frame = spark.createDataFrame([(1, f"key {key} end"), (2, f"password={key} end")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redacted(frame, secrets.scan(frame)).collect()} == {1: "key [SECRET] end", 2: "password=[SECRET] end"}
+
+
 def test_mixing_meets_targets(docs):
     wanted = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
     cells = mixing.celled(docs).groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens"))
