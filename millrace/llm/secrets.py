@@ -17,7 +17,8 @@ rules' own prototypes, made from a seed, complete the training rows.
 
 Defined results: a null or empty text has no finding; equal strings in one text
 are one finding with its number of places; rows that repeat a doc_id are scanned
-one by one; an empty table gives an empty result; further columns of the input
+one by one, and each is redacted of the secrets of all of them; rows whose doc_id
+is null count as repeats of one id in this; an empty table gives an empty result; further columns of the input
 are ignored.
 """
 
@@ -136,6 +137,6 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, threshold: float =
 def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret of findings replaced in its text; other rows and columns as they were."""
     secrets = findings.where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("__secrets"))
-    joined = docs.join(secrets, "doc_id", "left")
+    joined = docs.join(secrets.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     text = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
     return joined.withColumn("text", text).select(docs.columns)
