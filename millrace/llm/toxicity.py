@@ -9,7 +9,10 @@ by the correlation of their votes inside a class. Its posterior labels train a
 linear classifier (logistic regression) on the voters' votes, and that scores
 every whole text.
 
-At most `label_rows` labelled documents, drawn by hash of the id, teach.
+All labelled documents that are not held out teach the lexicon; of its terms the
+`most` of largest weight are voters, which bounds the features of the classifier. At
+most `label_rows` of these documents, drawn by hash of the id, teach the label model
+and the classifier.
 
 Defined results: a null or empty text is scored like a text without a vote; with
 no labelled row at all every score is 0; a document that labels list twice counts
@@ -37,6 +40,8 @@ _WORDS = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6)
 #: A form of address before a term, in the corpus's languages.
 ADDRESS = frozenset("you your youre du dein ihr euch tu vous ton votre eres vosotros usted tus".split())
+#: Labelled ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 PATTERNS = ("addressed", "shouting", "exclaiming", "many_terms")
 
 
@@ -66,7 +71,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def lexicon(rows: DataFrame, most: int = 600, least: int = 5, odds: float = 8.0, evidence: float = 20.0) -> list[str]:
+def lexicon(rows: DataFrame, most: int = 2000, least: int = 5, odds: float = 8.0, evidence: float = 20.0) -> list[str]:
     """Terms whose share of toxic documents is `odds` times that of clean ones, at least.
 
     evidence: least product of toxic documents and log odds, against chance.
@@ -202,9 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> tuple
     """Terms and linear weights, from labelled documents that are not held out."""
     truth = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     truth = truth.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taught = drawn(truth, F.col("doc_id"), label_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(taught), "doc_id").select("text", "toxic")
-    terms = lexicon(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Whole texts are not shuffled while the ids fit a broadcast.
+    terms = lexicon(texts.join(F.broadcast(truth) if truth.count() <= BROADCAST_IDS else truth, "doc_id").select("text", "toxic"))
+    rows = texts.join(F.broadcast(drawn(truth, F.col("doc_id"), label_rows)), "doc_id").select("text", "toxic")
     found = rows.mapInArrow(_vote(terms), "toxic int, votes array<int>").groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("times")).orderBy("toxic", "votes").toArrow()
     y = found.column("toxic").to_numpy().astype(float)
     if not len(y):

@@ -200,6 +200,12 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.93
 
 
+def test_lexicon_is_mined_from_all_labelled_rows(spark):
+    docs = spark.createDataFrame([(i, "you rareinsult of it" if i % 40 == 0 else f"calm words number{i % 7}") for i in range(1, 1201)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 40 == 0, 1).otherwise(0).alias("toxic"))
+    assert "rareinsult" in toxicity.train(docs, labels, label_rows=60)[0]
+
+
 @pytest.mark.parametrize("name", ["quality", "groups", "packing", "tokens", "language", "secrets", "mixing", "toxicity", "without_toxic", "keep_first", "sampled"])
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_rows(spark, odd, labels, name, empty):
