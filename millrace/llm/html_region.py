@@ -34,7 +34,8 @@ from millrace.llm.shared import drawn, slices
 #: Comments, declarations, tags; text stands between.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg", "iframe", "select", "title", "math", "canvas", "object")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,10 +54,11 @@ LINKED = -0.5
 class Part:
     """Text of one block, with what decides its score."""
 
-    __slots__ = ("inside", "link", "place", "tags", "text", "words")
+    __slots__ = ("article", "held", "inside", "link", "place", "tags", "text", "words")
 
     def __init__(self, text: str, place: tuple[str, ...], tags: tuple[str, ...], inside: bool, link: int, words: int) -> None:
         self.text, self.place, self.tags, self.inside, self.link, self.words = text, place, tags, inside, link, words
+        self.article, self.held = 0, ()  # number of the article around it, names of the places around that
 
 
 def _place(tag: str, attrs: str) -> tuple[str, ...]:
@@ -67,8 +69,20 @@ def _place(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _hidden(attrs: str) -> bool:
+    for m in _ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def parts(html: str | None) -> list[Part]:
-    """Blocks of a page in order; tags are those that opened or closed before the block."""
+    """Blocks of a page in order; tags are those that opened or closed before the block.
+
+    The names of html, body, main and article, and of the places that hold the
+    longest article or a main element, do not make a block boilerplate.
+    """
     if not html:
         return []
     out: list[Part] = []
@@ -77,6 +91,7 @@ def parts(html: str | None) -> list[Part]:
     tags: list[str] = []
     linked = 0
     at = 0
+    articles = 0
     depth = {"article": 0, "main": 0, "a": 0, "hidden": 0}
 
     def flush() -> None:
@@ -84,10 +99,17 @@ def parts(html: str | None) -> list[Part]:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
-                place = next((p for t, p, _ in reversed(stack) if len(p) > 1 or t in OUTSIDE or t in INSIDE), ("body",))
-                over = tuple(n for _, p, _ in stack for n in p)
+                root = next((i for kind in ("article", "main") for i, (t, _, _) in enumerate(stack) if t == kind), -1)
+                near = next((i for i in range(len(stack) - 1, -1, -1) if len(stack[i][1]) > 1 or stack[i][0] in OUTSIDE or stack[i][0] in INSIDE), None)
+                place = ("body",) if near is None else stack[near][1]
+                if near is not None and (near <= root or stack[near][0] in ("html", "body")):
+                    place = (place[0], *(n for n in place[1:] if n not in OUTSIDE))
+                over = tuple(n for i, (t, p, _) in enumerate(stack) for n in p if n not in OUTSIDE or (i > root and t not in ("html", "body")))
                 out.append(Part(text, place, tuple(tags), bool(depth["article"] or depth["main"]), linked, len(text.split())))
                 out[-1].place = (place[0], *dict.fromkeys(n for n in over if n in OUTSIDE or n in INSIDE), *place[1:])
+                if depth["article"]:
+                    out[-1].article = articles
+                    out[-1].held = tuple(n for t, p, _ in stack[:root] if t not in ("html", "body", "main") for n in p if n in OUTSIDE)
                 tags.clear()
             buffer.clear()
             linked = 0
@@ -132,7 +154,8 @@ def parts(html: str | None) -> list[Part]:
                 pop()
             if stack[-1][0] == "p":
                 pop()
-        hidden = bool(m[3] and _HIDDEN.search(m[3]))
+        hidden = bool(m[3] and _hidden(m[3]))
+        articles += tag == "article" and not depth["article"]
         stack.append((tag, _place(tag, m[3]), hidden))
         depth["hidden"] += hidden
         if tag in depth:
@@ -140,6 +163,14 @@ def parts(html: str | None) -> list[Part]:
     if at < len(html) and not depth["hidden"]:
         buffer.append(html[at:])
     flush()
+    sizes: Counter = Counter()
+    for p in out:
+        sizes[p.article] += p.words if p.article else 0
+    longest = max(sizes, key=sizes.__getitem__, default=0)
+    holds = {n for p in out if p.article == longest for n in p.held}
+    for p in out:
+        if p.article != longest:
+            p.place = (p.place[0], *(n for n in p.held if n not in holds), *p.place[1:])
     return out
 
 

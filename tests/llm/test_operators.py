@@ -143,6 +143,18 @@ def test_html():
     assert html_region.extract(None, {}) == html_region.extract("", {}) == html_region.extract("<p", {}) .strip("<p") == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single has-sidebar"><nav>menu</nav><article><p>one two three</article></body>',
+        '<div id="content-sidebar-wrap"><article class="post category-ads"><p>one two three</article><aside><article>a teaser</article></aside></div>',
+        '<article data-title="the hidden cost" class="hidden x"><p>one two three<p hidden>four<p style="display: none">five</article>',
+    ],
+)
+def test_names_around_an_article_do_not_lose_it(page):
+    assert html_region.extract(page, {}) == "one two three"
+
+
 def test_language_held_out(docs):
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
