@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import drawn, slices
+from millrace.llm.shared import drawn, in_batches, slices
 
 #: Comments, declarations, tags; text stands between.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
@@ -195,7 +195,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(pages: DataFrame, label_rows: int = 5000, most_items: int = 5000) -> dict[str, float]:
     """Weights of places (per word) and tags from up to label_rows pages that mark their content."""
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    rows = drawn(marked.select("html"), F.col("html"), label_rows).mapInArrow(_observe, "item string, inside boolean, n long").groupBy("item").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "item").limit(most_items).collect()
+    rows = drawn(marked.select("html"), F.col("html"), label_rows).transform(in_batches, _observe, "item string, inside boolean, n long").groupBy("item").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "item").limit(most_items).collect()
     return {r.item: log((r.a + 1) / (r.b + 1)) for r in rows if r.a + r.b >= 20}
 
 
@@ -257,4 +257,4 @@ def main_text(pages: DataFrame, label_rows: int = 5000, weights: dict[str, float
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     weights = learn(pages, label_rows) if weights is None else weights
-    return pages.mapInArrow(_extract(weights), "page_id long, url string, text string, n_chars long")
+    return pages.transform(in_batches, _extract(weights), "page_id long, url string, text string, n_chars long")

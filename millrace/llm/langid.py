@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import held_out, slices
+from millrace.llm.shared import held_out, in_batches, slices
 
 BITS = 15
 ORDERS = 3
@@ -75,7 +75,7 @@ def _train(bits: int):
 def train(docs: DataFrame, bits: int = BITS, smoothing: float = 0.5, max_languages: int = 500) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors, log probabilities [language, bucket], from lang and text of docs."""
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sums = rows.mapInArrow(_train(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.transform(in_batches, _train(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
     if len(langs) > max_languages:
         raise ValueError(f"lang has {len(langs)} values")
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, model, bits: int = BITS) -> DataFrame:
     langs, prior, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(_predict(langs, prior, shared, bits), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.transform(in_batches, _predict(langs, prior, shared, bits), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, bits: int = BITS) -> DataFrame:

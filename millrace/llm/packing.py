@@ -5,14 +5,15 @@ lengths (at most `capacity` numbers, whatever the corpus) is packed on the
 driver: a fractional packing over configurations, that is multisets of lengths
 which fit one sequence, is found by multiplicative weights; the pricing problem
 is a knapsack over lengths, solved by dynamic programming. The solution is
-rounded down, what remains is packed best-fit, fullest gap first. The plan is a
-small table of runs, (length, first rank, count, ...), and each piece finds its
+rounded, again over what is left, and the last few pieces are packed best-fit.
+The plan is a small table of runs, (length, first rank, count, ...), and each piece finds its
 place by its rank among the pieces of its length, which Spark counts in
 parallel: ranks inside small buckets plus the buckets' running sums.
 
 Defined results: a null or empty text has no token but the closing id 0, so it
-is one piece of length 1; rows that repeat a doc_id are packed one by one; an
-empty table gives an empty result; further columns of the input are ignored.
+is one piece of length 1; rows that repeat a doc_id are packed one by one, equal
+rows too, in any order among themselves; a null doc_id is kept; a text of any
+length is packed whole; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import slices, stored
+from millrace.llm.shared import in_batches, slices, stored
 
 END = b"\0\0\0\0"
 #: UTF-8 of runs of a-z and the lower-case letters of Latin-1: one pre-token that no normalizer changes.
@@ -46,20 +49,27 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class ChunkIds(dict):
     """Token ids, as little-endian bytes, of what stands between spaces.
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are its chunks' ids in turn. A full stop or comma after an ASCII letter is
     always a token of its own, so such a chunk comes from the bare word's ids.
+    A task owns its chunks: at most 2 * `most`, those met last.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 50_000) -> None:
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most = _tokenizer(path), most
+        self.older: dict[bytes, bytes] = {}
         self.merges = self.tokenizer.model.tokenize
         self.stops = {ord(c): self._encode(c.encode()) for c in ".,"}
 
@@ -69,8 +79,12 @@ class ChunkIds(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha():
+        found = self.older.get(chunk)
+        if found is not None:
+            pass
+        elif chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha():
             found = self[chunk[:-1]] + self.stops[chunk[-1]]
             if len(chunk) > 8:  # seldom seen again; the bare word is kept
                 return found
@@ -83,18 +97,16 @@ class ChunkIds(dict):
         return found
 
     def of(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "replace").lower()
-        return b"".join(map(self.__getitem__, raw.replace(b"\n", b" ").split(b" ")))
-
-
-@lru_cache(maxsize=2)
-def _chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+        raw = (text or "").encode("utf-8", "replace").replace(b"\n", b" ")
+        if b"<|" not in raw:
+            return b"".join(map(self.__getitem__, raw.lower().split(b" ")))
+        # A special token counts only as it is written, so such a chunk keeps its case.
+        return b"".join(self._encode(c) if b"<|" in c else self[c.lower()] for c in raw.split(b" "))
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _chunk_ids(path)
+        known = ChunkIds(path)
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -114,74 +126,112 @@ _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 def pieces(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's pieces."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.transform(in_batches, _pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Lengths and how often, of largest total price within capacity (knapsack).
+def best_values(price: np.ndarray, need: np.ndarray, capacity: int) -> np.ndarray:
+    """Largest total price of pieces within each capacity up to the given one.
 
-    price and most are by length, 1 to capacity; most bounds the copies. The
-    table runs over capacity for powers of two of the copies, the usual binary
-    splitting of a bounded knapsack.
+    A knapsack by dynamic programming; need bounds the copies of a length, in
+    powers of two (the usual binary splitting).
     """
     value = np.zeros(capacity + 1)
-    taken = []
-    for length in np.flatnonzero(price[1:] > 0) + 1:
-        left, copies = min(int(most[length]), capacity // int(length)), 1
-        while left > 0:
+    for length in np.flatnonzero(need).tolist():
+        left, copies, p = min(int(need[length]), capacity // length), 1, price[length]
+        while left:
             n = min(copies, left)
-            w = n * int(length)
-            moved = np.full(capacity + 1, -np.inf)
-            moved[w:] = value[: capacity + 1 - w] + n * price[length]
-            better = moved > value + 1e-12
-            value = np.where(better, moved, value)
-            taken.append((int(length), n, better))
+            np.maximum(value[n * length :], value[: capacity + 1 - n * length] + n * p, out=value[n * length :])
             left, copies = left - n, copies * 2
-    at, out = int(value.argmax()), {}
-    for length, n, better in reversed(taken):
-        if better[at]:
-            out[length] = out.get(length, 0) + n
-            at -= n * length
-    return out
+    return value
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 100, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how many sequences use each; together they hold every piece.
+Configuration = tuple[tuple[int, int], ...]
+
+
+def fractional(need: np.ndarray, capacity: int, rounds: int, rate: float, slack: float) -> tuple[dict[Configuration, float], float]:
+    """Configurations ((length, copies), ...) with their fractional times, which cover need, and the bound of the dual prices.
 
     Multiplicative weights over the covering rows of the configuration program:
-    lengths covered least gain weight, and the knapsack prices the next
-    configuration. Lengths over half the capacity exclude each other, so a
-    configuration has one of them at most.
+    a length's price is its size times a weight that falls with the share of its
+    pieces covered ahead of the round's schedule. In a round every length behind
+    schedule gets the configurations that hold it and come, by dynamic
+    programming, within `slack` of each part's best price; among those the
+    longest lengths behind schedule are taken, else the least covered. Prices
+    over the best configuration's price are feasible in the dual program, so
+    their total over all pieces bounds the number of sequences from below.
     """
-    need = np.zeros(capacity + 1)
-    for length, n in histogram.items():
-        need[length] = n
     lengths = np.flatnonzero(need)
-    if not len(lengths):
-        return []
-    used: dict[tuple[tuple[int, int], ...], float] = {}
-    cover = np.zeros(capacity + 1)
-    total = max(1.0, float((need * np.arange(capacity + 1)).sum()) / capacity)
-    for _ in range(rounds):
-        rest = np.where(need > 0, cover / np.maximum(need, 1), np.inf)
-        # Weight of a row: falls with its cover so far; a piece's natural price is its length.
-        weight = np.zeros(capacity + 1)
-        weight[lengths] = np.exp(-rate * (rest[lengths] - rest[lengths].min()) * 8) * lengths
-        found = best_configuration(weight, need, capacity)
-        step = min(total / rounds, min(need[x] / n for x, n in found.items()))
-        key = tuple(sorted(found.items()))
-        used[key] = used.get(key, 0) + step
-        for x, n in found.items():
-            cover[x] += n * step
-    left = need.astype(np.int64)
-    plan = []
-    for key, times in sorted(used.items(), key=lambda x: -sum(a * b for a, b in x[0])):
-        n = min([int(times), *(int(left[x]) // c for x, c in key)])
-        if n > 0:
-            plan.append((dict(key), n))
-            for x, c in key:
-                left[x] -= n * c
-    return plan + _remainder(left, capacity)
+    n = need[lengths].astype(float)
+    cover, bound = np.zeros(len(lengths)), 0.0
+    used: dict[Configuration, float] = {}
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for turn in range(1, rounds + 1):
+        due = turn / rounds
+        price = np.zeros(capacity + 1)
+        price[lengths] = lengths * np.exp(-rate * np.clip(cover / n - (turn - 1) / rounds, -1, 1))
+        value = best_values(price, need, capacity)
+        w = price[lengths]
+        bound = max(bound, float(w @ n / value[capacity]))
+        for i in range(len(lengths) - 1, -1, -1):
+            lack = n[i] * due - cover[i]
+            if lack <= 1e-9:
+                continue
+            taken, gap = Counter([i]), capacity - int(lengths[i])
+            while k := fit[gap]:
+                total = w[:k] + value[gap - lengths[:k]]
+                total[[j for j, copies in taken.items() if j < k and copies >= n[j]]] = -np.inf
+                if (best := total.max()) == -np.inf:
+                    break
+                near = total >= best - slack * lengths[:k]
+                share = np.where(near, cover[:k] / n[:k], np.inf)
+                late = np.flatnonzero(share < due)
+                j = int(late[-1]) if len(late) else int(share.argmin())
+                taken[j] += 1
+                gap -= int(lengths[j])
+            step = lack / taken[i]
+            for j, copies in taken.items():
+                cover[j] += copies * step
+            key = tuple(sorted((int(lengths[j]), copies) for j, copies in taken.items()))
+            used[key] = used.get(key, 0.0) + step
+    return used, bound
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 16, rate: float = 0.5, slack: float = 0.01) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how many sequences use each; together they hold every piece.
+
+    The fractional program is rounded: the whole times of each configuration
+    first, then one more of those used most, while their pieces last. The program
+    is solved anew over what is left until it places under a tenth of that, and
+    the last pieces are packed best-fit. Where the sequences then exceed the dual
+    bound, configurations that leave a gap are opened again and join the last
+    pieces. The work follows the histogram, not the corpus.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        left[length] = n
+    plan: Counter[Configuration] = Counter()
+    least = 0.0
+    while total := int(left.sum()):
+        used, bound = fractional(left, capacity, rounds, rate, slack)
+        least = least or bound
+        often = sorted(used.items(), key=lambda x: (-x[1], x[0]))
+        for key, times in [*((k, int(y)) for k, y in often), *((k, 1) for k, _ in often)]:
+            n = min([times, *(int(left[x]) // c for x, c in key)])
+            if n > 0:
+                plan[key] += n
+                for x, c in key:
+                    left[x] -= n * c
+        if left.sum() > 0.9 * total:
+            break
+    best = [(dict(k), n) for k, n in plan.items()] + _remainder(left, capacity)
+    if sum(n for _, n in best) > ceil(least - 1e-6):
+        full = [(dict(k), n) for k, n in plan.items() if sum(x * c for x, c in k) == capacity]
+        for key, n in plan.items():
+            if sum(x * c for x, c in key) < capacity:
+                for x, c in key:
+                    left[x] += n * c
+        best = min(best, full + _remainder(left, capacity), key=lambda p: sum(n for _, n in p))
+    return best
 
 
 def _remainder(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import slices
+from millrace.llm.shared import in_batches, slices
 
 CLASSES = ("lower", "upper", "beyond_ascii", "digit", "space", "stop", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
@@ -133,7 +133,7 @@ def references(docs: DataFrame, n_common: int = 64, flush: int = 400_000, max_la
     words and eight class counts for a language. Over max_languages values of
     lang this raises, since the column is then no language code.
     """
-    sums = docs.select("lang", "text").mapInArrow(_partials(flush), "lang string, item binary, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    sums = docs.select("lang", "text").transform(in_batches, _partials(flush), "lang string, item binary, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     word = ~F.substring("item", 1, 1).eqNullSafe(F.lit(b" "))
     ranked = Window.partitionBy("lang", "word").orderBy(F.desc("n"), "item")
     kept = sums.withColumn("word", word).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n_common)
@@ -202,4 +202,4 @@ def quality(docs: DataFrame, class_limit: float = 0.24, word_limit: float = 0.75
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     refs = references(docs) if refs is None else refs
-    return docs.mapInArrow(_judge(refs, (class_limit, word_limit, min_chars, min_words)), SCHEMA)
+    return docs.transform(in_batches, _judge(refs, (class_limit, word_limit, min_chars, min_words)), SCHEMA)

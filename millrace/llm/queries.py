@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import ann_graph, html_region, langid, mixing, ngram_join, packing, quality, secrets, token_count, toxicity
 from millrace.llm.shared import table
 
-#: Folder of the public vocabulary files; the operators take paths as parameters.
-TOKENIZERS = "/opt/tokenizers"
+#: Public vocabulary files; the operators take paths as parameters.
+WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +29,11 @@ def op3_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_count.token_counts(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
 def op6_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:

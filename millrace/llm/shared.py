@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +16,22 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: space and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Gives free memory of the C library back to the system, where it can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is
-    made, and set, so that one session keeps to one folder.
+    Where that is unset on one machine (master local, as in tests) a temporary
+    folder is made, and set, so that one session keeps to one folder; on a
+    cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,10 +57,10 @@ def held_out(key: Column) -> Column:
 
 
 def _text_bytes(column: pa.Array) -> np.ndarray:
-    """Bytes of the strings of each row, those inside structs included."""
+    """Bytes of the strings and binaries of each row, those inside structs included."""
     if pa.types.is_struct(column.type):
         return sum((_text_bytes(pc.struct_field(column, i)) for i in range(column.type.num_fields)), np.zeros(len(column), np.int64))
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
         return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return np.zeros(len(column), np.int64)
 
@@ -61,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 <<
     """Cut Arrow batches, so that few texts are Python strings at a time.
 
     A slice has at most `rows` rows and `size` bytes of text, or one row. What
-    the task's buffers took goes back at the end: Python workers live on.
+    the task took goes back at the end, since Python workers live on.
     """
     for batch in batches:
         ends = np.cumsum(sum(map(_text_bytes, batch.columns), np.zeros(batch.num_rows, np.int64)))
@@ -71,7 +79,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 <<
             stop = max(at + 1, min(at + rows, full))
             yield batch.slice(at, stop - at)
             at = stop
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes back to the system."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 500) -> DataFrame:
+    """df.mapInArrow(run, schema) with Arrow batches of at most `rows` rows.
+
+    Spark's own 10,000 rows are too many where a row holds a whole text: both
+    sides of the exchange keep a batch in memory. A size that the session
+    states itself stays.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_ROWS, None) is None:
+        spark.conf.set(_BATCH_ROWS, str(rows))
+    return df.mapInArrow(run, schema)
 
 
 def drawn(df: DataFrame, key: Column, rows: int) -> DataFrame:

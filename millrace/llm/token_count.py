@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import slices
+from millrace.llm.shared import in_batches, slices
 
 MARK = "▁"
 #: str.split() also splits at U+001C to U+001F, which are no White_Space.
@@ -128,4 +128,4 @@ def _count(path: str):
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of every whole text, by the vocabulary at path."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_count(path), "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return docs.transform(in_batches, _count(path), "doc_id long, n_words long, n_tokens long, n_unknown long")

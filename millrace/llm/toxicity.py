@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import drawn, held_out, slices
+from millrace.llm.shared import drawn, give_back, held_out, in_batches, slices
 
 _WORDS = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that may be terms; shorter ones are too common.
@@ -76,7 +76,7 @@ def lexicon(rows: DataFrame, most: int = 2000, least: int = 5, odds: float = 8.0
 
     evidence: least product of toxic documents and log odds, against chance.
     """
-    sums = rows.mapInArrow(_mine, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = rows.transform(in_batches, _mine, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = sums.where("term = ''").first()
     if total is None or not total.toxic or not total.clean:
         return []
@@ -211,17 +211,21 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> tuple
     # Whole texts are not shuffled while the ids fit a broadcast.
     terms = lexicon(texts.join(F.broadcast(truth) if truth.count() <= BROADCAST_IDS else truth, "doc_id").select("text", "toxic"))
     rows = texts.join(F.broadcast(drawn(truth, F.col("doc_id"), label_rows)), "doc_id").select("text", "toxic")
-    found = rows.mapInArrow(_vote(terms), "toxic int, votes array<int>").groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("times")).orderBy("toxic", "votes").toArrow()
+    found = rows.transform(in_batches, _vote(terms), "toxic int, votes array<int>").groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("times")).orderBy("toxic", "votes").toArrow()
     y = found.column("toxic").to_numpy().astype(float)
     if not len(y):
         return terms, np.zeros(0)
-    votes = np.zeros((len(y), len(terms) + len(PATTERNS)), np.float32)
+    votes = np.zeros((len(y), len(terms) + len(PATTERNS)), np.uint8)
     lists = found.column("votes").combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
     votes[np.repeat(np.arange(len(y)), sizes), lists.flatten().to_numpy()] = 1
     times = found.column("times").to_numpy().astype(float)
-    return terms, linear_classifier(votes, label_model(votes, y, times), times)
+    del found, lists
+    weights = linear_classifier(votes, label_model(votes, y, times), times)
+    del votes
+    give_back()
+    return terms, weights
 
 
 def _score(terms: list[str], weights: np.ndarray):
@@ -242,7 +246,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, model
     """doc_id, held_out, score, predicted of every whole text."""
     terms, weights = train(docs, labels, label_rows) if model is None else model
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(_score(terms, weights), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.transform(in_batches, _score(terms, weights), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000) -> DataFrame:
@@ -251,7 +255,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000)
     scores = _flags(terms, weights, next(i for i, c in enumerate(docs.columns) if c.lower() == "text"))
     wide = docs.select(F.struct(*docs.columns).alias("row"))
     kind = wide.schema["row"].dataType.simpleString()
-    return wide.mapInArrow(scores, f"row {kind}").select("row.*")
+    return wide.transform(in_batches, scores, f"row {kind}").select("row.*")
 
 
 def _flags(terms: list[str], weights: np.ndarray, place: int):
