@@ -12,11 +12,18 @@ near copies costs a comparison a member and not one a pair. What then still
 lies in different components meets in tiles: (shingle, size band, two salt
 blocks). In a tile, sizes and the places of the common shingle bound the
 overlap; for each pair that passes, once, parity bitmaps of the sets bound it
-by their bit counts, and what is left is compared by exact intersection.
+by their bit counts, and what is left is compared by exact intersection of the
+sorted arrays.
+
+No task gets a hot key's rows whole: signatures of many copies meet their class
+by a broadcast of a bounded number of classes, and prefix shingles that a sample
+finds very frequent are dealt to salted parts with a hub each.
 
 Defined results: a null or blank text has no shingle and links with nothing; a
-text under the shingle width is one shingle of all its words; rows that repeat
-a doc_id are one document; a null doc_id takes part as no document and gets a
+text under the shingle width is one shingle of all its words; texts of any
+length are compared whole; rows that repeat a doc_id are one document: each has
+the number of shingles of its own text, and all have one component, which joins
+what any of them links with; a null doc_id takes part as no document and gets a
 null component; an empty table gives an empty result; further columns of the
 input are ignored.
 """
@@ -32,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import slices, stored
+from millrace.llm.shared import in_batches, slices, stored
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _R23, _R41, _R29 = np.uint64(23), np.uint64(41), np.uint64(29)
@@ -134,6 +141,41 @@ def _sets(width: int):
     return run
 
 
+def _sorted_sets(width: int):
+    """id and the sorted shingles as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches):
+            yield pa.record_batch([batch.column("doc_id"), pa.array([shingles(t, known, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "items"])
+
+    return run
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct numbers."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _linked(percent: int):
+    """The pairs (a, b) whose sorted sets x and y link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = []
+            for left, right in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (left, right))
+                both = common(x, y)
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """id, component of every node of links (a, b): the smallest id reachable.
 
@@ -190,54 +232,81 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, w
     met = pairs.alias("p").join(signs.alias("x"), F.col("p.a") == F.col("x.id")).join(signs.alias("y"), F.col("p.b") == F.col("y.id"))
     allowed = stored(met.where(_may_link("x", "y", percent)).select("a", "b"), "allowed")
     near = _ids(allowed, "doc_id", broadcast_ids)
-    sets = docs.join(near, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, items array<long>")
+    sets = docs.join(near, "doc_id", "left_semi").transform(in_batches, _sorted_sets(width), "id long, items binary")
     both = allowed.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.id")).join(sets.alias("y"), F.col("p.b") == F.col("y.id"))
-    common = F.size(F.array_intersect("x.items", "y.items"))
-    return both.where(100 * common >= percent * (F.size("x.items") + F.size("y.items") - common)).select("a", "b").distinct()
+    both = both.select("a", "b", F.col("x.items").alias("x"), F.col("y.items").alias("y"))
+    return both.transform(in_batches, _linked(percent), "a long, b long").distinct()
 
 
-def frequent_shingles(docs: DataFrame, width: int, one_in: int, least: int, most: int) -> np.ndarray:
-    """Shingles in at least `least` sets of a sample; at most `most`, the most frequent.
+def frequent_shingles(docs: DataFrame, width: int, one_in: int, least: int, most: int, hot: int = 256, most_hot: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in at least `least` sets of a sample, at most `most`, the most frequent; and those in `hot`, at most `most_hot`.
 
-    Only the order of shingles depends on it, so neither bound can lose a link.
+    Only the order of shingles and the salting of hot ones depend on it, so no
+    bound can lose a link. A shingle beyond most_hot has a share of all rows
+    under 1 / most_hot.
     """
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
-    sets = sample.mapInArrow(_sets(width), "id long, items array<long>")
+    sets = sample.transform(in_batches, _sets(width), "id long, items array<long>")
     counts = stored(sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "frequent")
-    floor, kept = None, 0
-    for n, rows in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
-        if (kept := kept + rows) > most:
-            break
-        floor = n
-    if floor is None:
-        return np.empty(0, np.int64)
-    return np.sort(counts.where(F.col("n") >= floor).select("item").toArrow().column("item").to_numpy())
+    by_count = sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True)
+
+    def top(least: int, most: int) -> np.ndarray:
+        floor, kept = None, 0
+        for n, rows in by_count:
+            if n < least or (kept := kept + rows) > most:
+                break
+            floor = n
+        if floor is None:
+            return np.empty(0, np.int64)
+        return np.sort(counts.where(F.col("n") >= floor).select("item").toArrow().column("item").to_numpy())
+
+    return top(least, most), top(hot, most_hot)
+
+
+def _of_class(rows: DataFrame, classes: DataFrame, hot_rows: int) -> DataFrame:
+    """rows left-joined with classes (sig, m, ...) on sig.
+
+    Classes of hot_rows rows (m) or more are broadcast, so that their rows stay
+    where they are; the others are joined by a shuffle.
+    """
+    found = [c for c in classes.columns if c not in ("sig", "m")]
+    hot = F.broadcast(classes.where(F.col("m") >= hot_rows).select("sig", F.struct(*found).alias("hot")))
+    split = rows.join(hot, "sig", "left")
+    cold = split.where("hot is null").drop("hot").join(classes.where(F.col("m") < hot_rows).drop("m"), "sig", "left")
+    return split.where("hot is not null").select(*rows.columns, "hot.*").unionByName(cold.select(*rows.columns, *found))
 
 
-def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 512, hub_rounds: int = 2, one_in: int = 16, least: int = 4, most: int = 1_000_000, broadcast_ids: int = 4_000_000, broadcast_copies: int = 1_000_000) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 512, hub_rounds: int = 2, one_in: int = 16, least: int = 4, most: int = 1_000_000, broadcast_ids: int = 4_000_000, broadcast_copies: int = 1_000_000, parts: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id: groups of texts linked at percent or more.
 
     broadcast_ids: up to so many ids of compared sets are broadcast, at 8 bytes
     each; beyond it their rows are found by a shuffled join. broadcast_copies:
-    the same for the ids and 16-byte signatures of exact copies.
+    the same for the ids and 16-byte signatures of exact copies. parts: salted
+    parts of a hot prefix shingle.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_shingles(docs, width, one_in, least, most)
-    signed = stored(docs.mapInArrow(_signatures(width, percent, frequent), _SIGNATURES), "shingles")
+    frequent, hot = frequent_shingles(docs, width, one_in, least, most)
+    signed = stored(docs.transform(in_batches, _signatures(width, percent, frequent), _SIGNATURES), "shingles")
     usable = signed.where("sig is not null and doc_id is not null")
     # Classes of equal sets: all that the later steps need, and the prefixes, each once.
-    slim = usable.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bits", "wide")).alias("r"))
-    reps = stored(slim.select("sig", F.col("r.doc_id").alias("id"), "r.n", "r.bits", "r.wide"), "classes")
-    copies = stored(usable.select("sig", "doc_id").join(reps.select("sig", "id"), "sig").where("doc_id <> id").select("sig", "doc_id").distinct(), "copies")
+    slim = usable.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "n", "bits", "wide")).alias("r"))
+    reps = stored(slim.select("sig", "m", F.col("r.doc_id").alias("id"), "r.n", "r.bits", "r.wide"), "classes")
+    hot_rows = max(1000, signed.count() // 10_000)  # at most 10,000 classes have so many
+    copies = stored(_of_class(usable.select("sig", "doc_id"), reps.select("sig", "m", "id"), hot_rows).where("doc_id <> id").select("sig", "doc_id").distinct(), "copies")
     known = F.broadcast(copies) if copies.count() <= broadcast_copies else copies
     first = usable.join(known, ["sig", "doc_id"], "left_anti")
 
-    # Rows of prefix shingles that two classes or more have, with the bucket's hub.
+    # Rows of prefix shingles that two classes or more have, with the hub of their bucket.
     place = F.shiftleft(F.col("n"), 32) + F.col("pos")
     rows = first.select("doc_id", "n", F.posexplode("items").alias("pos", "item")).select("item", F.col("doc_id").alias("id"), place.alias("place"))
-    bucket = Window.partitionBy("item").orderBy("id")
+    if len(hot):
+        salted = docs.sparkSession.createDataFrame(pa.table({"item": hot, "salted": np.ones(len(hot), bool)}))
+        rows = rows.join(F.broadcast(salted), "item", "left").withColumn("part", F.when(F.col("salted"), F.pmod(F.xxhash64("id"), F.lit(parts)) + 1).otherwise(0).cast("int"))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    bucket = Window.partitionBy("item", "part").orderBy("id")
     hub = F.first(F.struct("id", "place")).over(bucket.rowsBetween(Window.unboundedPreceding, 0))
-    shared = rows.select("item", "id", "place", hub.alias("hub"), F.lead("id").over(bucket).alias("after")).where("hub.id <> id or after <> id")
+    shared = rows.select("item", "id", "place", hub.alias("hub"), F.lead("id").over(bucket).alias("after"), "part").where("hub.id <> id or after <> id or part > 0")
     unpacked = lambda c: [F.shiftright(c, 32).cast("int").alias("n"), c.bitwiseAND((1 << 32) - 1).cast("int").alias("pos")]
     shared = stored(shared.select("item", "id", *unpacked(F.col("place")), F.struct(F.col("hub.id").alias("id"), *unpacked(F.col("hub.place"))).alias("hub")), "shared")
 
@@ -257,9 +326,23 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 80, width: int = 5, bl
             pairs = _tiles(members, percent, block)
         links = stored(links.unionByName(compare(pairs)), "links-so-far")
     belongs = components(links)
-    of_class = reps.select("sig", "id").join(belongs, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
-    # Rows that repeat an id are one document: their classes are one group.
-    return _joined(signed, of_class)
+    of_class = reps.select("sig", "m", "id").join(belongs, "id", "left").select("sig", "m", F.coalesce("component", "id").alias("component"))
+    found = stored(_of_class(signed.select("doc_id", "n", "sig"), of_class, hot_rows), "of-class")
+    found = _one_component_an_id(found, broadcast_ids)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _one_component_an_id(found: DataFrame, broadcast_ids: int) -> DataFrame:
+    """found (doc_id, n, sig, component), where components that share a doc_id are one."""
+    pairs = found.where("doc_id is not null").select("doc_id", F.coalesce("component", "doc_id").alias("component")).distinct()
+    torn = stored(pairs.groupBy("doc_id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high"), "torn")
+    if torn.isEmpty():
+        return found
+    joined = stored(components(pairs.join(torn, "doc_id").select(F.col("component").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("whole")), "joined")
+    if joined.count() <= broadcast_ids:
+        joined = F.broadcast(joined)
+    own = found.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    return own.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component"))
 
 
 def _may_meet(x: Column, y: Column, percent: int) -> Column:
@@ -292,11 +375,6 @@ def _tiles(members: DataFrame, percent: int, block: int) -> DataFrame:
     return x.join(y, meet & ordered & allowed).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _joined(signed: DataFrame, of_class: DataFrame) -> DataFrame:
-    found = signed.select("doc_id", "n", "sig").join(of_class, "sig", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-
-
 def keep_first(docs: DataFrame, broadcast_ids: int = 4_000_000, **how) -> DataFrame:
     """The documents without all but the smallest doc_id of each group. Rows with a null id stay."""
     groups = near_duplicate_groups(docs, **how).where("doc_id <> component_id")
