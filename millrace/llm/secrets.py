@@ -17,13 +17,15 @@ neighbours speak of secrets are secrets, strings of well-known harmless formats
 (card-like numbers, dates, addresses, paths, prose, UUIDs) are not, unless assigned
 or told of as secrets, and bare digests are not where their neighbours say so; up to `label_rows` distinct candidates of
 each, drawn by hash, train the forest. Where a table lacks one of the kinds, the
-rules' own prototypes, made from a seed, complete the training rows.
+rules' own prototypes, made from a seed, complete the training rows, among them
+opaque strings of no known format.
 
 Defined results: a null or empty text has no finding; equal strings in one text
 are one finding with its number of places and the neighbours of all of them; rows that repeat a doc_id are scanned
 one by one, and each is redacted of the secrets of all of them; rows whose doc_id
-is null count as repeats of one id in this; an empty table gives an empty result; further columns of the input
-are ignored.
+is null count as repeats of one id in this; texts of any length are scanned whole; an
+empty table gives an empty result; further columns of the input are ignored by scan()
+and kept by redacted(), whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ _NAME = r"""(?i)^(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|au
 #: Public key formats that teach "secret".
 KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_.\-]+|-----BEGIN .*)"
 #: And harmless ones.
-HARMLESS = r"^(?:[0-9][0-9 .:/_\-]*|(?:https?:)?//?.*|[a-z]+(?:[-_/.][a-z0-9]+)+/?|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[A-Za-z]+|[A-Z]+(?:_[A-Z]+)+|[^A-Za-z0-9]+)$"
+HARMLESS = r"^(?:[0-9][0-9 .:/_\-]*|(?:https?:)?//?.*|[a-z]+(?:[-_/.][a-z0-9]{1,19})+/?|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[A-Za-z]+|[A-Z]+(?:_[A-Z]+)+|[^A-Za-z0-9]+)$"
 FEATURES = ["length", "digits", "uppers", "lowers", "marks", "turns", "distinct", "covered", "longest_word", "path_like", "assigned", "hex_only", "digit_only", "vowels", "secret_before", "secret_behind", "harmless_before", "harmless_behind"]
 #: Letter runs of a candidate, and the words of a text in their usual case, that the dictionary may hold.
 PIECES, WORD = r"[A-Z]?[a-z]{3,}|[A-Z]{4,}", r"(?<![A-Za-z0-9+/_=.\-])[A-Z]?[a-z]{3,}(?![A-Za-z0-9+/_=\-])"
@@ -114,7 +116,7 @@ def described(found: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(body, ""))) / F.least(n, F.lit(64)),
         "covered": covered / n,
         "longest_word": longest.cast("double"),
-        "path_like": F.when(s.rlike(r"^(https?:)?//|^/|^[a-z]+([-_/.][a-z0-9]+)+/?$|\.(com|net|org|html?|js|css|png|jpg|py)\b"), 1.0).otherwise(0.0),
+        "path_like": F.when(s.rlike(r"^(https?:)?//|^/|^[a-z]+([-_/.][a-z0-9]{1,19})+/?$|\.(com|net|org|html?|js|css|png|jpg|py)\b"), 1.0).otherwise(0.0),
         "assigned": F.when(F.col("raw") != s, 1.0).otherwise(0.0),
         "hex_only": F.when(s.rlike("^[0-9a-fA-F]+$"), 1.0).otherwise(0.0),
         "digit_only": F.when(s.rlike(r"^[0-9 .:/_\-]+$"), 1.0).otherwise(0.0),
@@ -156,15 +158,21 @@ def prototypes(spark: SparkSession, rows: int = 400, seed: int = 7) -> DataFrame
         *(F.struct(chars(hexes, n, 21 + k).alias("raw"), F.lit(before).alias("before")) for k, (n, before) in enumerate(((40, "the secret key is "), (32, "Authorization: Bearer "), (40, "commit "), (64, "sha256 "), (32, "md5 checksum ")))),
         F.struct(chars(mixed, 40, 30).alias("raw"), F.lit("access token ").alias("before")),
     )
-    every = F.concat(F.transform(made, lambda x: F.struct(x.alias("raw"), F.lit("").alias("before"))), beside)
-    return spark.range(rows).select(F.explode(every).alias("x"), words.alias("words")).select("x.raw", "x.before", F.lit("").alias("behind"), "words")
+    # Opaque strings of no known format: a short name, a separator and drawn characters. They are secrets wherever they stand.
+    name = chars("abcdefghijklmnopqrstuvwxyz", 4, 31)
+    opaque = F.array(
+        F.concat(name, F.lit("-"), chars(mixed, 24, 32)), F.concat(name, F.lit("_"), chars(mixed, 32, 33)), F.concat(name, F.lit("_"), chars(hexes, 48, 34)), F.concat(chars(upper[:26], 3, 35), F.lit("."), chars(mixed, 24, 36), F.lit("."), chars(mixed, 36, 37)), chars(mixed, 44, 38),
+    )
+    kind = lambda x, label: F.struct(x.alias("raw"), F.lit("").alias("before"), F.lit(label).cast("double").alias("own"))
+    every = F.concat(F.transform(made, lambda x: kind(x, None)), F.transform(beside, lambda x: x.withField("own", F.lit(None).cast("double"))), F.transform(opaque, lambda x: kind(x, 1.0)))
+    return spark.range(rows).select(F.explode(every).alias("x"), words.alias("words")).select("x.raw", "x.before", F.lit("").alias("behind"), "words", "x.own")
 
 
 def train(found: DataFrame, label_rows: int = 20_000, trees: int = 20) -> PipelineModel:
     """The forest, from up to label_rows labelled candidates of either label and the prototypes."""
     own = stored(labelled(described(found.select("raw", "before", "behind", "words").distinct())).where("label is not null"), "labelled")
     ranked = [drawn(own.where(F.col("label") == y), F.col("raw"), label_rows) for y in (0.0, 1.0)]
-    rows = ranked[0].unionByName(ranked[1]).unionByName(labelled(described(prototypes(found.sparkSession))).where("label is not null"))
+    rows = ranked[0].unionByName(ranked[1]).unionByName(labelled(described(prototypes(found.sparkSession))).withColumn("label", F.coalesce("own", "label")).drop("own").where("label is not null"))
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=8, seed=1)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows.select(*FEATURES, "label").coalesce(4))
 
@@ -177,9 +185,22 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, threshold: float =
     return model.transform(described(found)).select("doc_id", "secret", "raw", "places", score.alias("score"), (score >= threshold).alias("is_secret"))
 
 
-def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret of findings replaced in its text; other rows and columns as they were."""
-    secrets = findings.where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("__secrets"))
-    joined = docs.join(secrets.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    text = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    return joined.withColumn("text", text).select(docs.columns)
+def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]", broadcast_ids: int = 1_000_000) -> DataFrame:
+    """docs with each secret of findings replaced in its text; other rows and columns as they were.
+
+    Up to broadcast_ids ids with secrets are broadcast, so texts stay where they
+    are; beyond that only rows that hold a candidate are shuffled.
+    """
+    longest_first = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
+    secrets = stored(findings.where("is_secret").groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("secret"), longest_first).alias("secrets")), "secrets")
+    wide = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.aggregate("secrets", F.col("row.text").cast("string"), lambda t, s: F.replace(t, s, F.lit(mark)))
+
+    def replaced(rows: DataFrame, found: DataFrame) -> DataFrame:
+        joined = rows.join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")), "left")
+        return joined.select(*[F.when(F.col("secrets").isNotNull(), text).otherwise(F.col("row.text")).alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+    if secrets.count() <= broadcast_ids:
+        return replaced(wide, F.broadcast(secrets))
+    holds = F.coalesce(F.col("row.text").cast("string").rlike(CANDIDATE), F.lit(False))
+    return replaced(wide.where(holds), secrets).unionByName(wide.where(~holds).select("row.*"))
