@@ -2,76 +2,110 @@
 
 Documents fall into cells of (source, language, topic). The cells' token
 weights are raked, one margin after another, until the sums by source, language
-and topic have their target shares; then each document is drawn with its cell's
-calibrated probability, by a hash of its id, so a rerun draws the same ones.
-Every step is a DataFrame operation: sums with map-side combination, joins on
-the margin, one written table a round.
-
-A margin without stated targets gets its observed shares raised to the power
-`temper`, which lifts small sources and holds down large ones. Stated targets
-that no document can meet are left out and the rest rescaled; a value without a
-stated target gets weight 0.
+and topic have their target shares. The raked weights over the present tokens,
+scaled so that the largest is 1, are the cells' probabilities, so in expectation
+the sample meets every margin. A document's draw is a hash of its id; a cell
+keeps the draws below a threshold at which its kept tokens are, to a document or
+a thousandth, its probability's share of its tokens; a source's cells are rounded
+one after another, so that their errors cancel. A rerun draws the same documents. Every
+step is a DataFrame operation: sums with map-side combination, joins on the
+margin, one written table a round.
+
+Targets of a margin are stated shares (values without one divide the rest by
+their observed shares), or else the observed shares to the power `temper`, times
+the value's weight, scaled to sum to 1. Tempering lifts small values and holds
+down large ones. Stated targets that no document can meet are left out and the
+rest rescaled. Where margins cannot all be met, the last fitted is met exactly.
+
+A column `topic` of the input is the topic if there is one. Otherwise the words
+of the text tell: the topic of TOPICS with most of its words in the text (ties to
+the first), else "general".
 
 Defined results: null source, language or topic is the value "(none)"; a null
-or empty text has no token, and is kept with its cell's probability; a row with
-a null id is drawn by its text; rows that repeat an id are drawn alike; an empty
-table gives an empty result. A column `topic` of the input is used if present.
+or empty text has no token and is kept; a text of any length counts whole; a row
+with a null id is drawn by its text; rows that repeat an id are drawn alike, by
+the threshold of each row's cell; an empty table gives an empty result; further
+columns are ignored by mix() and kept by sampled().
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
 
 MARGINS = ("source", "lang", "topic")
-
-
-def default_topic(text: Column, tokens: Column) -> Column:
-    """A coarse topic from the form of the text: tables, fragments, articles, long reads."""
-    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    return F.when(bars * 8 > tokens, "table").when(tokens < 60, "fragment").when(tokens < 600, "article").otherwise("long")
-
-
-def cell_columns(docs: DataFrame) -> dict[str, Column]:
+#: Words that tell a topic, in the corpus's languages. A fixed choice of this operator, to be replaced by the caller's.
+TOPICS: dict[str, tuple[str, ...]] = {
+    "licence": ("licence", "license", "licensed", "copyright", "warranty", "apache", "gnu", "lizenz", "licencia", "droits"),
+    "technical": ("http", "https", "www", "html", "com", "org", "net", "api", "token", "password", "key", "error", "code", "server", "data"),
+    "address": ("you", "your", "du", "dein", "ihr", "euch", "vous", "votre", "tu", "tus", "usted", "vosotros"),
+}
+#: Power of observed shares and weights of values where no target is stated: large sources are held down, and so are English and licence texts.
+TEMPER = {"source": 0.8, "lang": 1.0, "topic": 1.0}
+WEIGHTS = {"lang": {"en": 0.95}, "topic": {"licence": 0.7}}
+
+
+def word_topic(text: Column, topics: dict[str, tuple[str, ...]]) -> Column:
+    """The topic with most of its words in the text, ties to the first; "general" without any."""
+    hits = [F.regexp_count(text, F.lit(rf"(?i)\b(?:{'|'.join(map(re.escape, words))})\b")) for words in topics.values()]
+    if not hits:
+        return F.lit("general")
+    most = F.greatest(*hits) if len(hits) > 1 else hits[0]
+    found = reduce(lambda at, x: at.when(x[1] == most, x[0]), zip(topics, hits, strict=True), F.when(most == 0, "general"))
+    return found
+
+
+def cell_columns(docs: DataFrame, topics: dict[str, tuple[str, ...]] = TOPICS) -> dict[str, Column]:
     """The margins, n_tokens (words) and draw (uniform in 0 to 1) of a document."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     named = lambda c: F.coalesce(docs[c].cast("string"), F.lit("(none)"))
     tokens = F.regexp_count(text, F.lit(r"\S+")).cast("long")
     draw = F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), text), F.lit("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return {"source": named("source"), "lang": named("lang"), "topic": named("topic") if "topic" in docs.columns else default_topic(text, tokens), "n_tokens": tokens, "draw": draw}
+    return {"source": named("source"), "lang": named("lang"), "topic": named("topic") if "topic" in docs.columns else word_topic(text, topics), "n_tokens": tokens, "draw": draw}
 
 
-def celled(docs: DataFrame) -> DataFrame:
+def celled(docs: DataFrame, topics: dict[str, tuple[str, ...]] = TOPICS) -> DataFrame:
     """doc_id and the cell_columns() of every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in cell_columns(docs).items()])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in cell_columns(docs, topics).items()])
 
 
-def target_shares(cells: DataFrame, margin: str, stated: dict[str, float] | None, temper: float) -> DataFrame:
+def _share(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with name: column over its sum, 0 where that is 0."""
+    total = df.agg(F.sum(F.col(column).cast("double"))).first()[0] or 0.0
+    return df.withColumn(name, F.col(column) / F.lit(total) if total else F.lit(0.0))
+
+
+def target_shares(cells: DataFrame, margin: str, stated: dict[str, float] | None, temper: float, weights: dict[str, float]) -> DataFrame:
     """The margin's values and target shares, which sum to 1 over the values present."""
-    seen = cells.groupBy(margin).agg(F.sum("tokens").alias("seen"))
+    seen = _share(cells.groupBy(margin).agg(F.sum("tokens").alias("seen")), "seen", "share")
+
+    def named(values: dict[str, float], otherwise: Column) -> Column:
+        return reduce(lambda c, kv: c.when(F.col(margin) == kv[0], F.lit(float(kv[1]))), values.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(otherwise)
+
     if stated is None:
-        wanted = seen.select(margin, F.pow("seen", F.lit(temper)).alias("wanted"))
+        wanted = F.pow("share", F.lit(temper)) * named(weights, F.lit(1.0))
     else:
-        given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in stated.items()], f"{margin} string, wanted double")
-        wanted = seen.join(given, margin, "left").select(margin, F.coalesce("wanted", F.lit(0.0)).alias("wanted"))
-    total = wanted.agg(F.sum("wanted").alias("total"))
-    return wanted.join(F.broadcast(total)).select(margin, F.coalesce(F.col("wanted") / F.nullif("total", F.lit(0.0)), F.lit(0.0)).alias("target"))
+        rest = max(0.0, 1.0 - sum(stated.values()))
+        others = seen.where(~F.col(margin).isin(list(stated))).agg(F.sum("share")).first()[0] or 0.0
+        wanted = named(stated, F.col("share") * (rest / others if others else 0.0))
+    return _share(seen.select(margin, wanted.alias("wanted")), "wanted", "target").select(margin, "target")
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.85, tolerance: float = 1e-4, most_rounds: int = 25) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, weights: dict[str, dict[str, float]] | None = None, tolerance: float = 2e-3, most_rounds: int = 12) -> DataFrame:
     """Adds weight to cells (margins, tokens): raked shares of the token total.
 
     Stops when every margin is within tolerance of its target, or, where empty
     cells make that impossible, after most_rounds.
     """
+    temper, weights = TEMPER | (temper or {}), WEIGHTS if weights is None else weights
     cells = stored(cells.where("tokens > 0"), "cells")
-    goals = {m: stored(target_shares(cells, m, (targets or {}).get(m), temper), f"target-{m}") for m in MARGINS}
-    total = F.coalesce(F.sum("tokens"), F.lit(1)).alias("total")
-    now = cells.join(F.broadcast(cells.agg(total))).select(*MARGINS, "tokens", (F.col("tokens") / F.col("total")).alias("weight"))
+    goals = {m: stored(target_shares(cells, m, (targets or {}).get(m), temper[m], weights.get(m, {})), f"target-{m}") for m in MARGINS}
+    now = _share(cells, "tokens", "weight")
     for _ in range(most_rounds):
         for m in MARGINS:
             sums = now.groupBy(m).agg(F.sum("weight").alias("sum")).join(goals[m], m)
@@ -85,48 +119,63 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     return now
 
 
-def probabilities(raked: DataFrame, token_share: float | None = 0.9) -> DataFrame:
-    """Adds probability to raked cells: weight over present tokens, scaled.
+def probabilities(raked: DataFrame) -> DataFrame:
+    """Adds probability to raked cells: weight over present tokens, at the largest scale at which no cell needs more than it has."""
+    ratio = F.col("weight") / F.col("tokens")
+    most = raked.agg(F.max(ratio)).first()[0] or 0.0
+    return raked.withColumn("probability", F.least(F.lit(1.0), ratio / F.lit(most)) if most else F.lit(0.0))
+
+
+def thresholds(rows: DataFrame, odds: DataFrame, bins: int = 1024) -> DataFrame:
+    """Margins, probability and threshold of each cell: draws below it hold the probability's share of the cell's tokens.
 
-    token_share: share of all tokens that the draw is to have. Cells that would
-    need more than all their documents take all, and the scale of the others is
-    raised until the draw has its share. None: the largest scale at which no
-    cell needs more, which a single rare cell can make small.
+    Draws are counted by bin first, so a cell is at most `bins` rows here, and
+    what a source collects is bounded by its languages and topics.
     """
-    ratio = F.col("weight") / F.col("tokens")
-    scale = raked.agg((1 / F.nullif(F.max(ratio), F.lit(0.0)))).first()[0] or 0.0
-    for _ in range(12 if token_share is not None else 0):
-        full = scale * ratio >= 1
-        whole, wanted, all_tokens = raked.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.sum("tokens")).first()
-        rest = token_share * (all_tokens or 0) - (whole or 0)
-        before, scale = scale, (rest / wanted if wanted and rest > 0 else scale)
-        if abs(scale - before) <= 1e-9 * before:
-            break
-    return raked.select(*MARGINS, "weight", F.least(F.lit(1.0), F.coalesce(scale * ratio, F.lit(0.0))).alias("probability"))
+    binned = rows.where("n_tokens > 0").groupBy(*MARGINS, F.floor(F.col("draw") * bins).alias("bin")).agg(F.sum("n_tokens").alias("in_bin"))
+    before = F.coalesce(F.sum("in_bin").over(Window.partitionBy(*MARGINS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = binned.withColumn("before", before).join(odds, list(MARGINS)).withColumn("over", F.col("probability") * F.col("tokens") - F.col("before"))
+    last = met.where((F.col("over") >= 0) & (F.col("over") < F.col("in_bin")) & (F.col("probability") < 1))
+    # The bin that holds the goal is kept or not, so that the source's kept tokens come nearest its goal; largest bins first.
+    kind = "array<struct<lang:string,topic:string,take:boolean>>"
+    cells = last.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("in_bin")).alias("order"), "lang", "topic", "over", "in_bin"))).alias("cells"))
 
+    def decide(so_far: Column, x: Column) -> Column:
+        without = so_far["off"] - x["over"]
+        take = F.abs(without + x["in_bin"]) < F.abs(without)
+        return F.struct((without + F.when(take, x["in_bin"]).otherwise(0)).alias("off"), F.concat(so_far["out"], F.array(F.struct(x["lang"].alias("lang"), x["topic"].alias("topic"), take.alias("take")))).alias("out"))
 
-def cell_odds(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.85, token_share: float | None = 0.9, broadcast_cells: int = 100_000) -> DataFrame:
-    """Margins and probability of each cell of celled() rows.
+    chosen = F.aggregate("cells", F.struct(F.lit(0.0).alias("off"), F.array().cast(kind).alias("out")), decide, lambda x: x["out"])
+    taken = cells.select("source", F.explode(chosen).alias("c")).select("source", "c.*")
+    at = last.join(taken, list(MARGINS)).select(*MARGINS, ((F.col("bin") + F.col("take").cast("int")) / bins).alias("threshold"))
+    return odds.join(at, list(MARGINS), "left").select(*MARGINS, "probability", F.when(F.col("probability") >= 1, 1.0).otherwise(F.coalesce("threshold", F.lit(1.0))).alias("threshold"))
+
+
+def cell_odds(rows: DataFrame, broadcast_cells: int = 100_000, **how) -> DataFrame:
+    """thresholds() of the raked cells of celled() rows.
 
     The cells are marked for broadcast only up to broadcast_cells of them;
     beyond, a join with them shuffles, and adaptive execution splits the cells
     that hold most rows.
     """
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    odds = stored(probabilities(rake(cells, targets, temper), token_share).drop("weight"), "odds")
+    odds = stored(thresholds(rows, probabilities(rake(cells, **how))), "odds")
     return F.broadcast(odds) if odds.count() <= broadcast_cells else odds
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, topics: dict[str, tuple[str, ...]] = TOPICS, **how) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, kept of every document."""
-    rows = stored(celled(docs), "celled")
-    out = rows.join(cell_odds(rows, **how), list(MARGINS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    return out.select("doc_id", *MARGINS, "n_tokens", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
+    rows = stored(celled(docs, topics), "celled")
+    out = rows.join(cell_odds(rows, **how), list(MARGINS), "left")
+    return out.select("doc_id", *MARGINS, "n_tokens", F.coalesce("probability", F.lit(1.0)).alias("probability"), _kept().alias("kept"))
+
+
+def _kept() -> Column:
+    return (F.col("n_tokens") == 0) | (F.col("draw") < F.coalesce("threshold", F.lit(1.0)))
 
 
-def sampled(docs: DataFrame, **how) -> DataFrame:
+def sampled(docs: DataFrame, topics: dict[str, tuple[str, ...]] = TOPICS, **how) -> DataFrame:
     """The documents that are drawn, with the columns of docs."""
-    odds = cell_odds(stored(celled(docs), "celled"), **how)
-    wide = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(k) for k, c in cell_columns(docs).items()])
-    drawn = wide.join(odds, list(MARGINS), "left").where(F.col("draw") < F.coalesce("probability", F.lit(1.0)))
-    return drawn.select("row.*")
+    odds = cell_odds(stored(celled(docs, topics), "celled"), **how)
+    wide = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(k) for k, c in cell_columns(docs, topics).items()])
+    return wide.join(odds, list(MARGINS), "left").where(_kept()).select("row.*")
