@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import mixing, ngram_join, packing, secrets, toxicity
-from millrace.llm.queries import TOKENIZERS
+from millrace.llm.queries import WORD_BPE
 from millrace.llm.shared import stored, table
 
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and place."""
-    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(docs, WORD_BPE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
