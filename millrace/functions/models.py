@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import clean_text, fallback_keywords, history_text, keywords
+
 
 def hashed_embedding(texts: list[str], size: int = 64) -> np.ndarray:
     """Signed hashed word counts, of length 1. For tests; no meaning is claimed."""
@@ -39,19 +41,71 @@ def shared_words(pairs: list[tuple[str, str]]) -> list[float]:
 
 
 def score_pairs(query: Column, passage: Column, model: Callable[[list[tuple[str, str]]], list[float]] = shared_words, batch: int = 32) -> Column:
+    """The model's score of each pair; null for the pairs of a batch on which the model fails."""
+
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, d in parts:
             pairs = list(zip(q.fillna(""), d.fillna(""), strict=True))
-            yield pd.Series([s for at in range(0, len(pairs), batch) for s in model(pairs[at : at + batch])], dtype=float)
+            found: list[float | None] = []
+            for at in range(0, len(pairs), batch):
+                part = pairs[at : at + batch]
+                try:
+                    found += model(part)
+                except Exception:  # whatever the model raises: its queries fall back to unscored order
+                    found += [None] * len(part)
+            yield pd.Series(found, dtype=float)
 
     return run(query, passage)
 
 
-def generate(prompt: Column, model: Callable[[list[str]], list[str]]) -> Column:
+def extract_answer(prompts: list[str]) -> list[str]:
+    """Stand-in for generation: the first block of the prompt, cut at 300 characters. No meaning is claimed."""
+    return [(p.split("\n\n")[0])[:300] for p in prompts]
+
+
+def generate(prompt: Column, model: Callable[[list[str]], list[str]] = extract_answer) -> Column:
+    """The model's text for each prompt; null for a batch on which it fails."""
+
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series(model(part.fillna("").tolist()), index=part.index)
+            try:
+                found = list(model(part.fillna("").tolist()))
+            except Exception:  # as above: the row's outcome says that generation failed
+                found = [None] * len(part)
+            yield pd.Series(found, index=part.index, dtype=object)
 
     return run(prompt)
+
+
+def rewrite_query(query: Column, history: Column, model: Callable[[list[str]], list[str]] | None = None) -> Column:
+    """The query as it stands without a history or model, else the model's text for history and query."""
+    if model is None:
+        return query
+    asked = generate(F.concat_ws("\n", history_text(history), query), model)
+    return F.when(F.coalesce(F.size(history), F.lit(0)) <= 0, query).otherwise(F.coalesce(asked, query))
+
+
+def ask_keywords(query: Column, model: Callable[[list[str]], list[str]] | None = None) -> Column:
+    """Keywords of the model's answer, or of the query itself without a model or where it fails."""
+    plain = fallback_keywords(query)
+    return plain if model is None else F.coalesce(keywords(generate(query, model)), plain)
+
+
+def ocr(content: Column, model: Callable[[list[bytes]], list[str]]) -> Column:
+    """The model's text of images or pages, cleaned as markdown; null where it fails. There is no default model."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            found = []
+            for raw in part:
+                try:
+                    found.append(None if raw is None else model([bytes(raw)])[0])
+                except Exception:  # one unreadable image rejects its own source only
+                    found.append(None)
+            yield pd.Series(found, index=part.index, dtype=object)
+
+    text = run(content)
+    return F.when(text.isNotNull(), clean_text(text, True))

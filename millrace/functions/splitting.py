@@ -1,21 +1,41 @@
 """Recursive text splitting and markdown sections, as pandas UDFs over whole columns.
 
-Sizes are counted by a named counter: "words" (words and punctuation marks) or
-"chars". No tokenizer vocabulary is assumed.
+Sizes are counted by a named counter: "words" (words and punctuation marks),
+"chars", or the path of a .tiktoken file, whose tokens count. No vocabulary is
+assumed or fetched.
 """
 
 from __future__ import annotations
 
+import base64
 import re
+from collections import deque
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARENT = ("\n\n", "\n", ". ", " ")
 CHILD = (*PARENT, "")
-COUNTERS: dict[str, Callable[[str], int]] = {"words": lambda s: len(re.findall(r"\w+|[^\w\s]", s)), "chars": len}
+_WORD = re.compile(r"\w+|[^\w\s]")
+COUNTERS: dict[str, Callable[[str], int]] = {"words": lambda s: len(_WORD.findall(s)), "chars": len}
+#: How byte-level vocabularies part a text before they merge: a public, fixed pattern.
+PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@lru_cache(maxsize=2)
+def counter(name: str) -> Callable[[str], int]:
+    """The named counter, or the tokens of the vocabulary at a path."""
+    if name in COUNTERS:
+        return COUNTERS[name]
+    import tiktoken
+
+    with open(name, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("file", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+    return lambda s: len(encoding.encode_ordinary(s))
 
 
 def split_text(text: str, separators: tuple[str, ...], size: int, overlap: int, count: Callable[[str], int]) -> list[str]:
@@ -26,27 +46,27 @@ def split_text(text: str, separators: tuple[str, ...], size: int, overlap: int,
     separator, deeper = separators[at], separators[at + 1 :]
     pieces = list(text) if not separator else [p for p in re.split(f"(?={re.escape(separator)})", text) if p]
     out: list[str] = []
-    small: list[str] = []
+    small: list[tuple[str, int]] = []
     for piece in pieces:
-        if count(piece) < size:
-            small.append(piece)
+        n = count(piece)
+        if n < size:
+            small.append((piece, n))
             continue
-        out += _joined(small, size, overlap, count)
+        out += _joined(small, size, overlap)
         small = []
         out += split_text(piece, deeper, size, overlap, count) if deeper else [piece]
-    return out + _joined(small, size, overlap, count)
+    return out + _joined(small, size, overlap)
 
 
-def _joined(pieces: list[str], size: int, overlap: int, count: Callable[[str], int]) -> list[str]:
+def _joined(pieces: list[tuple[str, int]], size: int, overlap: int) -> list[str]:
     out: list[str] = []
-    window: list[tuple[str, int]] = []
+    window: deque[tuple[str, int]] = deque()
     total = 0
-    for piece in pieces:
-        n = count(piece)
+    for piece, n in pieces:
         if window and total + n > size:
             out.append("".join(p for p, _ in window).strip())
             while window and (total > overlap or (total + n > size and total > 0)):
-                total -= window.pop(0)[1]
+                total -= window.popleft()[1]
         window.append((piece, n))
         total += n
     out.append("".join(p for p, _ in window).strip())
@@ -93,12 +113,13 @@ def markdown_sections(text: str) -> list[tuple[str, dict[str, str]]]:
     return merged
 
 
-def split_column(text: Column, size: Column, overlap: Column, children: bool, counter: str = "words") -> Column:
+def split_column(text: Column, size: Column, overlap: Column, children: bool, name: str = "words") -> Column:
     """Array of chunks; null where the overlap is over the size."""
-    count, separators = COUNTERS[counter], CHILD if children else PARENT
+    separators = CHILD if children else PARENT
 
     @F.pandas_udf("array<string>")
     def run(t: pd.Series, s: pd.Series, o: pd.Series) -> pd.Series:
+        count = counter(name)
         return pd.Series([None if b > a else split_text(x or "", separators, int(a), int(b), count) for x, a, b in zip(t, s, o, strict=True)])
 
     return run(text, size, overlap)
@@ -114,12 +135,33 @@ def sections_column(text: Column) -> Column:
     return run(text)
 
 
-def chunk_documents(docs, counter: str = "words"):
-    """(parents, chunks) of plain documents with chunk_size, chunk_overlap, parent_chunk_size columns."""
+def parents_column(text: Column, is_markdown: Column, size: Column, name: str = "words") -> Column:
+    """Array of parents (content, headers) of each document: inside sections where it is markdown."""
+
+    @F.pandas_udf("array<struct<content:string,headers:map<string,string>>>")
+    def run(t: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
+        count = counter(name)
+        out = []
+        for x, marked, most in zip(t, m, s, strict=True):
+            sections = markdown_sections(x or "") if marked else [(x or "", {})]
+            out.append([{"content": c, "headers": h} for content, h in sections for c in split_text(content, PARENT, int(most), 0, count)])
+        return pd.Series(out, index=t.index, dtype=object)
+
+    return run(text, is_markdown, size)
+
+
+def chunk_documents(docs: DataFrame, name: str = "words") -> tuple[DataFrame, DataFrame]:
+    """(parents, chunks) of documents with chunk_size, chunk_overlap, parent_chunk_size columns.
+
+    Where is_markdown holds, parents are split inside sections and have their
+    headers; plain documents have an empty map. A document whose overlap is over
+    its chunk size gives nothing.
+    """
     from millrace.functions.text import row_id
 
     key = ["topic_id", "sub_topic_id", "source"]
-    parents = docs.select(*key, "chunk_size", "chunk_overlap", F.posexplode(split_column(F.col("text"), F.col("parent_chunk_size"), F.lit(0), False, counter)).alias("parent_index", "content"))
-    parents = parents.withColumn("parent_id", row_id(*map(F.col, [*key, "parent_index"])))
-    chunks = parents.select("parent_id", *key, F.posexplode(split_column(F.col("content"), F.col("chunk_size"), F.col("chunk_overlap"), True, counter)).alias("child_index", "content"))
+    marked = F.coalesce(F.col("is_markdown"), F.lit(False)) if "is_markdown" in docs.columns else F.lit(False)
+    found = docs.where(F.col("chunk_overlap") <= F.col("chunk_size")).select(*key, "chunk_size", "chunk_overlap", F.posexplode(parents_column(F.col("text"), marked, F.col("parent_chunk_size"), name)).alias("parent_index", "parent"))
+    parents = found.select(*key, "chunk_size", "chunk_overlap", "parent_index", "parent.*").withColumn("parent_id", row_id(*map(F.col, [*key, "parent_index"])))
+    chunks = parents.select("parent_id", *key, F.posexplode(split_column(F.col("content"), F.col("chunk_size"), F.col("chunk_overlap"), True, name)).alias("child_index", "content"))
     return parents.drop("chunk_size", "chunk_overlap"), chunks.withColumn("chunk_id", row_id(F.col("parent_id"), F.col("child_index")))

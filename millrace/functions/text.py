@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,3 +81,60 @@ def row_id(*keys: Column) -> Column:
 
 def source_url(base: Column, topic: Column, sub: Column, file: Column) -> Column:
     return F.concat_ws("/", base, topic, F.nullif(sub, F.lit("")), file)
+
+
+def history_json(history: Column) -> Column:
+    """The history as a JSON array; null as an empty one."""
+    return F.to_json(F.coalesce(history, F.array().cast("array<struct<role:string,text:string>>")))
+
+
+def suffix(name: Column) -> Column:
+    """Lower-case suffix with its dot; '' without one."""
+    return F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
+
+
+def artifact_name(rel_path: Column, is_markdown: Column) -> Column:
+    return F.concat(rel_path, F.when(is_markdown, ".md").otherwise(".ocr"))
+
+
+def meta_name(path: Column) -> Column:
+    """Path of the sidecar that holds a file's origin."""
+    return F.concat(path, F.lit(".meta"))
+
+
+#: Elements whose text is no content, and the character references that are decoded (the ampersand last).
+OUTSIDE = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "title")
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def page_text(html: Column) -> Column:
+    """Text of a page without comments and the elements of OUTSIDE, white space as one space. A plain default; any column function may take its place."""
+    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    for tag in OUTSIDE:
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b.*?</{tag}>", " ")
+    text = F.regexp_replace(text, r"<[^>]*>", " ")
+    for name, char in REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """Links against their page's URL; null where either is null or no URL."""
+
+    def one(a: str | None, b: str | None) -> str | None:
+        try:
+            return None if a is None or b is None else urljoin(a, b)
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(bases: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(bases, links, strict=True)], dtype=object)
+
+    return run(base, link)
+
+
+def file_name(url: Column) -> Column:
+    """Last part of the URL's path; without one a name drawn from the URL."""
+    path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
+    return F.coalesce(F.nullif(F.element_at(F.split(path, "/"), -1), F.lit("")), F.concat(F.lit("dl_"), F.substring(F.sha2(url, 256), 1, 8)))

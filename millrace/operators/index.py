@@ -58,3 +58,14 @@ def cascade_topics(sub_topics: DataFrame, topics: DataFrame, renames: DataFrame)
     """Sub-topics after topic renames (old_id, new_id) and without those of deleted topics."""
     moved = sub_topics.join(renames, F.col("topic_id") == F.col("old_id"), "left").withColumn("topic_id", F.coalesce("new_id", "topic_id")).drop("old_id", "new_id")
     return moved.join(topics.select("topic_id"), "topic_id", "left_semi")
+
+
+def rename_topic_everywhere(chunks: DataFrame, parents: DataFrame, cache: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks and parents under the new topic, and the cache without the old topic's answers."""
+    return rename_topic(chunks, old, new), rename_topic(parents, old, new), cache.where(F.coalesce(F.col("topic_id") != old, F.lit(True)))
+
+
+def list_config(sub_topics: DataFrame, topic: str | None = None) -> DataFrame:
+    """topic_id, sub_topic_id, description of a topic's sub-topics; the id where there is no description."""
+    rows = sub_topics if topic is None else sub_topics.where(F.col("topic_id") == topic)
+    return rows.select("topic_id", "sub_topic_id", F.coalesce(F.nullif("description", F.lit("")), F.col("sub_topic_id")).alias("description"))

@@ -6,13 +6,14 @@ parent_id, topic_id, sub_topic_id, source, content, embedding), parents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.models import score_pairs, shared_words
 from millrace.functions.text import cosine, index_tokens, safe_sigmoid, strip
 
 NO_SOURCE = "Fonte sconosciuta"
@@ -36,56 +37,90 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.6) -> DataFrame:
-    """qid, chunk_id, score, rank by cosine inside topic and sub-topic. Plain form, for small query sets."""
-    c = chunks.select("chunk_id", "topic_id", "sub_topic_id", F.col("embedding").alias("v"))
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.6, most_queries: int = 10_000) -> DataFrame:
+    """qid, chunk_id, score, rank by cosine inside topic and sub-topic, in SQL expressions.
+
+    Up to most_queries queries are broadcast, so chunks stay where they are,
+    whatever a topic's share of them; larger sets go by blocks.
+    """
+    if queries.count() > most_queries:
+        return vector_topk_blocks(queries, chunks, k, min_score)
+    c = chunks.where("embedding is not null").select("chunk_id", "topic_id", "sub_topic_id", F.col("embedding").alias("v"))
     q = queries.select("qid", "topic_id", "sub_topics", F.col("embedding").alias("u"))
-    hits = c.join(q, "topic_id").where(in_scope()).select("qid", "chunk_id", F.round(cosine(F.col("u"), F.col("v")), 6).alias("score"))
+    hits = c.join(F.broadcast(q), "topic_id").where(in_scope()).select("qid", "chunk_id", F.round(cosine(F.col("u"), F.col("v")), 6).alias("score"))
     return ranked(hits.where(F.col("score") >= min_score), k)
 
 
-def vector_topk_blocks(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.6, block_rows: int = 1000) -> DataFrame:
-    """The same by blocks of queries: chunks meet a packed block a task, and a task's Arrow batch sends on k rows a query.
+def vector_topk_blocks(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.6, block_rows: int = 10_000) -> DataFrame:
+    """The same by blocks of about block_rows queries, each broadcast as a matrix and held against all chunks in numpy.
 
-    A block is broadcast by Spark or joined on topic; its size is block_rows.
+    A task keeps the k best of each query over its whole partition and sends only those on.
     """
     blocks = max(1, -(-queries.count() // block_rows))
-    q = queries.select("qid", "topic_id", "sub_topics", "embedding", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
-    packed = q.groupBy("topic_id", "block").agg(F.collect_list(F.struct("qid", "sub_topics", "embedding")).alias("queries"))
-    pairs = chunks.select("chunk_id", "topic_id", "sub_topic_id", "embedding").join(packed, "topic_id")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in pdf.groupby(["topic_id", "block"], dropna=False):
-                asked = part["queries"].iloc[0]
-                u, v = np.array([x["embedding"] for x in asked], float), np.array(part["embedding"].tolist(), float)
-                u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    numbered = queries.select("qid", "topic_id", "sub_topics", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).where("embedding is not null")
+    rows = chunks.where("embedding is not null").select("chunk_id", "topic_id", "sub_topic_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    found = [rows.mapInArrow(_best(_asked(numbered.where(F.col("block") == b)), k, min_score), f"qid long, chunk_id {kind}, score double") for b in range(blocks)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return ranked(out, k)
+
+
+def _asked(block: DataFrame):
+    """Broadcast of a block of queries by topic: ids, unit vectors, wanted sub-topics (None: all)."""
+    by_topic: dict = {}
+    for r in block.collect():
+        by_topic.setdefault(r.topic_id, []).append(r)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    packed = {t: ([r.qid for r in rs], unit(np.array([r.embedding for r in rs])), [set(r.sub_topics) if r.sub_topics else None for r in rs]) for t, rs in by_topic.items()}
+    return block.sparkSession.sparkContext.broadcast(packed)
+
+
+def _best(asked, k: int, min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, object]]] = {}
+        kind = pa.int64()
+        for batch in batches:
+            kind = batch.schema.field("chunk_id").type
+            ids, topics, subs = (np.array(batch.column(c).to_pylist(), object) for c in ("chunk_id", "topic_id", "sub_topic_id"))
+            for topic in set(topics.tolist()) & asked.value.keys():
+                at = np.flatnonzero(topics == topic)
+                v = np.array(batch.column("embedding").take(pa.array(at)).to_pylist(), float)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                scores = np.round(u @ v.T, 6)
-                for x, s in zip(asked, scores, strict=True):
-                    subs = x["sub_topics"]
+                qids, u, wanted = asked.value[topic]
+                for qid, s, want in zip(qids, np.round(u @ v.T, 6), wanted, strict=True):
                     ok = s >= min_score
-                    if subs is not None and len(subs):
-                        ok &= part["sub_topic_id"].isin(list(subs)).to_numpy()
-                    at = np.flatnonzero(ok)
-                    found = pd.DataFrame({"qid": x["qid"], "chunk_id": part["chunk_id"].to_numpy()[at], "score": s[at]})
-                    yield found.sort_values(["score", "chunk_id"], ascending=[False, True]).head(k)
+                    if want is not None:
+                        ok &= np.array([x in want for x in subs[at]])
+                    hits = np.flatnonzero(ok)
+                    if len(hits):
+                        both = best.get(qid, []) + list(zip((-s[hits]).tolist(), ids[at[hits]].tolist(), strict=True))
+                        best[qid] = sorted(both)[:k]
+        rows = [(q, c, -s) for q, found in best.items() for s, c in found]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["qid", "chunk_id", "score"])
 
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    return ranked(pairs.mapInPandas(best, f"qid long, chunk_id {kind}, score double"), k)
+    return run
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 40) -> DataFrame:
+def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, most_words: int = 1_000_000) -> DataFrame:
     """qid, chunk_id, rank of chunks that hold all tokens of any keyword (words: array) in scope; first k by id.
 
-    Chunk tokens are first cut to those that some query asks for.
+    A chunk meets a keyword at the keyword's longest token and is tested on all
+    its tokens there. Up to most_words keywords are broadcast, so a frequent
+    token's chunks stay spread, and each task sends on the k first chunks of a
+    query only.
     """
-    asked = queries.select("qid", "topic_id", "sub_topics", F.posexplode("words").alias("word_no", "word")).withColumn("tokens", index_tokens(F.col("word"))).where(F.size("tokens") > 0)
-    needed = asked.select("qid", "topic_id", "sub_topics", "word_no", F.size("tokens").alias("needed"), F.explode("tokens").alias("token"))
-    tokens = chunks.select("chunk_id", "topic_id", "sub_topic_id", F.explode(index_tokens(F.col("content"))).alias("token"))
-    wanted = tokens.join(needed.select("topic_id", "token").distinct(), ["topic_id", "token"], "left_semi")
-    hits = wanted.join(needed, ["topic_id", "token"]).where(in_scope()).groupBy("qid", "word_no", "chunk_id", "needed").agg(F.count(F.lit(1)).alias("n")).where("n = needed").select("qid", "chunk_id").distinct()
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where(F.col("rank") <= k)
+    asked = queries.select("qid", "topic_id", "sub_topics", F.explode("words").alias("word")).withColumn("needed", index_tokens(F.col("word"))).where(F.size("needed") > 0)
+    longest = F.array_sort("needed", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1))
+    asked = asked.select("qid", "topic_id", "sub_topics", "needed", F.get(longest, F.lit(0)).alias("token"))
+    if asked.count() <= most_words:
+        asked = F.broadcast(asked)
+    tokens = chunks.select("chunk_id", "topic_id", "sub_topic_id", index_tokens(F.col("content")).alias("tokens"))
+    met = tokens.select("*", F.explode("tokens").alias("token")).join(asked, ["topic_id", "token"]).where(in_scope() & ((F.size("needed") == 1) | (F.size(F.array_except("needed", "tokens")) == 0)))
+    # Several keywords of a query may meet a chunk: a dense rank counts it once.
+    first = met.select("qid", "chunk_id").withColumn("rank", F.dense_rank().over(Window.partitionBy("qid").orderBy("chunk_id")))
+    return first.where(F.col("rank") <= k).distinct()
 
 
 def fuse(vector: DataFrame, keyword: DataFrame) -> DataFrame:
@@ -100,6 +135,31 @@ def rerank_cut(scored: DataFrame, k: int = 25, min_prob: float = 0.02, min_keep:
     return out.where((F.col("rank") <= k) & ((F.col("rank") <= min_keep) | (F.col("prob") >= min_prob)))
 
 
+def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, model: Callable[[list[tuple[str, str]]], list[float]] = shared_words, k: int = 25, max_chars: int = 1200) -> DataFrame:
+    """qid, chunk_id, logit, prob, rank of fused candidates, by the model's score of query and the first max_chars of the chunk.
+
+    A query with a candidate that the model could not score keeps its first k
+    candidates by vector score instead; their logit and prob are null.
+    """
+    content = chunks.select("chunk_id", F.left("content", F.lit(max_chars)).alias("passage")).join(F.broadcast(candidates.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    pairs = candidates.join(content, "chunk_id").join(queries.select("qid", "query"), "qid")
+    scored = pairs.withColumn("logit", score_pairs(F.col("query"), F.col("passage"), model)).drop("query", "passage")
+    whole = scored.withColumn("missed", F.max(F.col("logit").isNull()).over(Window.partitionBy("qid")))
+    good = rerank_cut(whole.where(~F.col("missed")), k).select("qid", "chunk_id", "logit", "prob", "rank")
+    plain = unscored_cut(whole.where("missed"), k).select("qid", "chunk_id", F.lit(None).cast("double").alias("logit"), F.lit(None).cast("double").alias("prob"), "rank")
+    return good.unionByName(plain)
+
+
+def retrieval_funnel(vector: DataFrame, keyword: DataFrame, fused: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
+    """Per query the rows at each step: n_vector, n_keyword, n_fused, n_kept, n_parents."""
+    steps = {"n_vector": vector, "n_keyword": keyword, "n_fused": fused, "n_kept": kept, "n_parents": parents}
+    rows = None
+    for name, df in steps.items():
+        part = df.select("qid", F.lit(name).alias("step"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("qid").agg(*(F.count_if(F.col("step") == name).alias(name) for name in steps))
+
+
 def unscored_cut(fused: DataFrame, k: int = 25) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc_nulls_last("vec_score"), "chunk_id")
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -132,9 +192,10 @@ def rerank_report(scored: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", F.translate(F.substring("content", 1, 80), "\n", " ").alias("snippet"))
 
 
-def cache_lookup(queries: DataFrame, cache: DataFrame, min_score: float = 0.97) -> DataFrame:
-    """qid, cache_id, score: the nearest cached answer of the same topic and selection."""
-    pairs = queries.select("qid", "topic_id", "sub_topics_key", F.col("embedding").alias("u")).join(cache.select("cache_id", "topic_id", "sub_topics_key", F.col("embedding").alias("v")), ["topic_id", "sub_topics_key"])
-    hits = pairs.select("qid", "cache_id", F.round(cosine(F.col("u"), F.col("v")), 6).alias("score")).where(F.col("score") >= min_score)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "cache_id")
-    return hits.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+def cache_lookup(queries: DataFrame, cache: DataFrame, min_score: float = 0.97, block_rows: int = 10_000) -> DataFrame:
+    """qid, cache_id, score: the nearest cached answer of the same topic and selection, by blocks of queries."""
+    key = lambda df: F.to_json(F.struct(df["topic_id"], df["sub_topics_key"]))
+    known = lambda df: df.where("topic_id is not null and sub_topics_key is not null")
+    q = known(queries).select("qid", key(queries).alias("topic_id"), F.lit(None).cast("array<string>").alias("sub_topics"), "embedding")
+    c = known(cache).select(F.col("cache_id").alias("chunk_id"), key(cache).alias("topic_id"), F.lit("").alias("sub_topic_id"), "embedding")
+    return vector_topk_blocks(q, c, 1, min_score, block_rows).select("qid", F.col("chunk_id").alias("cache_id"), "score")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import splitting, text
 from millrace.functions.models import embed
-from millrace.operators import chat, index, retrieval
+from millrace.operators import answering, chat, index, retrieval
 from millrace.sources import corpus
 
 
@@ -23,53 +23,83 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a vector, as chunks; four neighbours of a topic share a parent."""
+    """Documents as chunks, with a vector where there is one; four neighbours of a topic share a parent, some have none."""
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     docs = documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").withColumnRenamed("text", "content")
-    return docs.join(vectors, "chunk_id").withColumn("parent_id", F.concat_ws("-", "topic_id", F.floor(F.col("chunk_id") / 4).cast("string")))
+    return docs.join(vectors, "chunk_id", "left").withColumn("parent_id", F.when(F.col("chunk_id") % 50 != 7, F.concat_ws("-", "topic_id", F.floor(F.col("chunk_id") / 4).cast("string"))))
 
 
-def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = chunks(spark, sf_dir).groupBy("parent_id").agg(F.min_by(F.struct("source", "sub_topic_id", "content"), "chunk_id").alias("f"))
-    return one.select("parent_id", "f.*")
+def parents(of: DataFrame) -> DataFrame:
+    """Parents of chunks: their children's texts in order, under the first child's source. Some are blank, some lack a source or sub-topic."""
+    child = F.struct("chunk_id", "source", "sub_topic_id", "content")
+    held = of.where("parent_id is not null").groupBy("parent_id").agg(F.array_sort(F.collect_list(child)).alias("c"))
+    first = F.get("c", F.lit(0))
+    kind = F.floor(first["chunk_id"] / 4) % 10
+    content = F.array_join(F.transform("c", lambda x: x["content"]), "\n\n")
+    return held.select("parent_id", F.when(kind != 4, first["source"]).alias("source"), F.when(kind != 5, first["sub_topic_id"]).alias("sub_topic_id"), F.when(kind == 3, " \n").otherwise(content).alias("content"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector whose id is divisible by 100 plus its neighbour's, as a question of its document's topic."""
-    c = chunks(spark, sf_dir)
-    near = c.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("embedding").alias("e2"))
-    q = c.where("chunk_id % 100 = 0").join(near, "chunk_id")
-    words = F.slice(F.split(F.lower("content"), " "), 1, 3)
-    return q.select(F.col("chunk_id").alias("qid"), "topic_id", F.array().cast("array<string>").alias("sub_topics"), F.zip_with("embedding", "e2", lambda a, b: a + b).alias("embedding"), words.alias("words"), F.col("content").alias("query"))
+    """Each document whose id is divisible by 100 as a question of its topic: its vector plus its neighbour's; every third selects sub-topics."""
+    docs = documents(spark, sf_dir).where("doc_id % 100 = 0")
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    own, near = vectors.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("e1")), vectors.select((F.col("vec_id") - 1).alias("doc_id"), F.col("e").alias("e2"))
+    q = docs.join(own, "doc_id", "left").join(near, "doc_id", "left")
+    words = F.slice(F.split(F.lower("text"), " "), 1, 3)
+    subs = F.when(F.col("doc_id") % 300 == 0, F.array("sub_topic_id", *(F.lit(f"src{i}") for i in range(1, 8)))).otherwise(F.array().cast("array<string>"))
+    vector = F.when(F.col("e2").isNull(), F.col("e1")).otherwise(F.zip_with("e1", "e2", lambda a, b: a + b))
+    return q.select(F.col("doc_id").alias("qid"), "topic_id", subs.alias("sub_topics"), vector.alias("embedding"), words.alias("words"), F.col("text").alias("query"))
 
 
 _C = """chunks AS (SELECT d.doc_id AS chunk_id, d.lang AS topic_id, d.source AS sub_topic_id, 'doc_' || d.doc_id AS source, d.text AS content,
-  e.embedding::DOUBLE[] AS embedding, d.lang || '-' || (d.doc_id // 4) AS parent_id FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"""
-_P = "parents AS (SELECT parent_id, f.source, f.sub_topic_id, f.content FROM (SELECT parent_id, min_by({'source': source, 'sub_topic_id': sub_topic_id, 'content': content}, chunk_id) AS f FROM chunks GROUP BY parent_id))"
-_Q = """questions AS (SELECT a.chunk_id AS qid, a.topic_id, list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i] + b.embedding[i]) AS embedding,
-  list_slice(string_split(lower(a.content), ' '), 1, 3) AS words FROM chunks a JOIN chunks b ON b.chunk_id = a.chunk_id + 1 WHERE a.chunk_id % 100 = 0)"""
-_V = """hits AS (SELECT qid, c.chunk_id, c.parent_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) AS score FROM questions q JOIN chunks c USING (topic_id)),
+  e.embedding::DOUBLE[] AS embedding, CASE WHEN d.doc_id % 50 <> 7 THEN d.lang || '-' || (d.doc_id // 4) END AS parent_id FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
+_P = """parents AS (SELECT parent_id, CASE WHEN k <> 4 THEN source END AS source, CASE WHEN k <> 5 THEN sub_topic_id END AS sub_topic_id, CASE WHEN k = 3 THEN ' ' || chr(10) ELSE content END AS content
+  FROM (SELECT parent_id, (min(chunk_id) // 4) % 10 AS k, min_by(source, chunk_id) AS source, min_by(sub_topic_id, chunk_id) AS sub_topic_id, string_agg(content, chr(10) || chr(10) ORDER BY chunk_id) AS content FROM chunks WHERE parent_id IS NOT NULL GROUP BY parent_id)),
+usable AS (SELECT parent_id, coalesce(source, 'Fonte sconosciuta') AS source, coalesce(sub_topic_id, '') AS sub_topic_id, content FROM parents WHERE regexp_replace(content, '\\s+', '', 'g') <> '')"""
+_Q = """questions AS (SELECT a.chunk_id AS qid, a.topic_id, CASE WHEN a.chunk_id % 300 = 0 THEN [a.sub_topic_id, 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7'] ELSE [] END AS subs,
+  CASE WHEN b.embedding IS NULL THEN a.embedding ELSE list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i] + b.embedding[i]::DOUBLE) END AS embedding,
+  list_slice(string_split(lower(a.content), ' '), 1, 3) AS words, a.content AS query FROM chunks a LEFT JOIN embeddings b ON b.vec_id = a.chunk_id + 1 WHERE a.chunk_id % 100 = 0)"""
+_IN = "(len(q.subs) = 0 OR list_contains(q.subs, c.sub_topic_id))"
+_V = f"""hits AS (SELECT qid, c.chunk_id, c.parent_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) AS score FROM questions q JOIN chunks c USING (topic_id) WHERE {_IN} AND q.embedding IS NOT NULL AND c.embedding IS NOT NULL),
 vec AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM hits WHERE score >= 0.1 QUALIFY rank <= 30)"""
-_D = "docs AS (SELECT doc_id, lang AS topic_id, source AS sub_topic_id, 'doc_' || doc_id AS source, text FROM documents)"
-_KW = r"""tok AS (SELECT chunk_id, topic_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: length(x) BETWEEN 2 AND 20))) AS token FROM chunks),
-asked AS (SELECT qid, topic_id, i AS word_no, list_distinct(list_filter(regexp_split_to_array(lower(words[i]), '[^\p{L}\p{N}]+'), lambda x: length(x) BETWEEN 2 AND 20)) AS toks FROM (SELECT qid, topic_id, words, unnest(range(1, len(words) + 1)) AS i FROM questions)),
-need AS (SELECT qid, topic_id, word_no, len(toks) AS needed, unnest(toks) AS token FROM asked),
+_KW = rf"""tok AS (SELECT chunk_id, topic_id, sub_topic_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 20))) AS token FROM chunks),
+asked AS (SELECT qid, topic_id, subs, i AS word_no, list_distinct(list_filter(regexp_split_to_array(lower(words[i]), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 20)) AS toks FROM (SELECT qid, topic_id, subs, words, unnest(range(1, len(words) + 1)) AS i FROM questions)),
+need AS (SELECT qid, topic_id, subs, word_no, len(toks) AS needed, unnest(toks) AS token FROM asked),
 met AS (SELECT qid, word_no, chunk_id, needed, count(*) AS n FROM need JOIN tok USING (topic_id, token) GROUP BY ALL),
-kw AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS rank FROM (SELECT DISTINCT qid, chunk_id FROM met WHERE n = needed) QUALIFY rank <= 40)"""
+kw AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS rank FROM (SELECT DISTINCT qid, chunk_id FROM met JOIN questions q USING (qid) JOIN chunks c USING (chunk_id) WHERE n = needed AND {_IN}) QUALIFY rank <= 40)"""
+_F = "f AS (SELECT qid, chunk_id, max(score) AS vec_score, bool_or(k) AS is_keyword FROM (SELECT qid, chunk_id, score, false AS k FROM vec UNION ALL SELECT qid, chunk_id, NULL, true FROM kw) GROUP BY ALL)"
+_SET = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
+_R = f"""l AS (SELECT f.qid, f.chunk_id, len(list_intersect({_SET.format('q.query')}, {_SET.format('substring(c.content, 1, 1200)')})) - 1 AS logit FROM f JOIN questions q USING (qid) JOIN chunks c USING (chunk_id)),
+r AS (SELECT qid, chunk_id, 1 / (1 + exp(-logit)) AS p, row_number() OVER (PARTITION BY qid ORDER BY logit DESC, chunk_id) AS rank FROM l QUALIFY rank <= 25 AND (rank <= 2 OR p >= 0.02))"""
+_D = "docs AS (SELECT doc_id, lang AS topic_id, source AS sub_topic_id, 'doc_' || doc_id AS source, text FROM documents)"
+
+
+def _hybrid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Chunks, questions and both kinds of hits."""
+    c, q = chunks(s, d), questions(s, d)
+    return c, q, retrieval.vector_topk_blocks(q, c, 30, 0.1), retrieval.keyword_topk(q, c)
 
 
 def vector(s: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(questions(s, d), chunks(s, d), 30, 0.1)
 
 
+def vector_blocks(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_topk_blocks(questions(s, d), chunks(s, d), 30, 0.1)
+
+
+def _expanded(s: SparkSession, d: str) -> DataFrame:
+    c = chunks(s, d)
+    kept = retrieval.vector_topk_blocks(questions(s, d), c, 30, 0.1).join(c.select("chunk_id", "parent_id"), "chunk_id")
+    return retrieval.expand_parents(kept, parents(c))
+
+
 def packed_context(s: SparkSession, d: str) -> DataFrame:
-    kept = vector(s, d).join(chunks(s, d).select("chunk_id", "parent_id"), "chunk_id")
-    return retrieval.build_context(retrieval.expand_parents(kept, parents(s, d)))
+    return retrieval.build_context(_expanded(s, d))
 
 
 def citations(s: SparkSession, d: str) -> DataFrame:
-    kept = vector(s, d).join(chunks(s, d).select("chunk_id", "parent_id"), "chunk_id")
-    found = retrieval.cite_sources(retrieval.expand_parents(kept, parents(s, d)))
+    found = retrieval.cite_sources(_expanded(s, d))
     return found.select("qid", F.array_join(F.transform("sources", lambda x: F.concat(x["file"], F.lit("/"), x["sub_topic"])), ";").alias("sources"))
 
 
@@ -78,13 +108,19 @@ def keyword(s: SparkSession, d: str) -> DataFrame:
 
 
 def fused(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse(vector(s, d), keyword(s, d))
+    _, _, v, k = _hybrid(s, d)
+    return retrieval.fuse(v, k)
 
 
 def reranked(s: SparkSession, d: str) -> DataFrame:
-    logit = ((F.col("chunk_id") * 37 + F.col("qid")) % 101 - 50) / 5.0
-    out = retrieval.rerank_cut(fused(s, d).withColumn("logit", logit))
-    return out.select("qid", "chunk_id", "rank", F.round("prob", 6).alias("prob"))
+    c, q, v, k = _hybrid(s, d)
+    return retrieval.rerank(retrieval.fuse(v, k), q, c).select("qid", "chunk_id", "rank", F.round("prob", 6).alias("prob"))
+
+
+def reported(s: SparkSession, d: str) -> DataFrame:
+    c, q, v, k = _hybrid(s, d)
+    scored = retrieval.rerank(retrieval.fuse(v, k), q, c).join(c.select("chunk_id", "content"), "chunk_id")
+    return retrieval.rerank_report(scored.drop("rank"))
 
 
 def unscored(s: SparkSession, d: str) -> DataFrame:
@@ -92,15 +128,34 @@ def unscored(s: SparkSession, d: str) -> DataFrame:
 
 
 def funnel(s: SparkSession, d: str) -> DataFrame:
-    return fused(s, d).groupBy("qid").agg(F.count("vec_score").alias("n_vector"), F.count_if("is_keyword").alias("n_keyword"), F.count(F.lit(1)).alias("n_fused"))
+    c, q, v, k = _hybrid(s, d)
+    f = retrieval.fuse(v, k)
+    kept = retrieval.rerank(f, q, c)
+    return retrieval.retrieval_funnel(v, k, f, kept, retrieval.expand_parents(kept.join(c.select("chunk_id", "parent_id"), "chunk_id"), parents(c)))
 
 
 def cache_hits(s: SparkSession, d: str) -> DataFrame:
-    c = chunks(s, d).withColumn("sub_topics_key", text.sub_topics_key(F.array(F.lit("b"), F.lit("a"))))
+    key = F.when(F.col("chunk_id") % 2 == 0, text.sub_topics_key(F.array(F.lit("b"), F.lit("a"), F.lit("a")))).otherwise(text.sub_topics_key(F.array(F.lit("c"))))
+    c = chunks(s, d).withColumn("sub_topics_key", key)
     q = c.select(F.col("chunk_id").alias("qid"), "topic_id", "sub_topics_key", "embedding").where("qid % 50 = 0")
     return retrieval.cache_lookup(q, c.withColumnRenamed("chunk_id", "cache_id"))
 
 
+def scoped(s: SparkSession, d: str) -> DataFrame:
+    subs = documents(s, d).where("doc_id % 3 = 0").select("topic_id", "sub_topic_id")
+    return retrieval.resolve_scope(questions(s, d), subs).select("qid", F.array_join("sub_topics", ",").alias("sub_topics"))
+
+
+def answered(s: SparkSession, d: str) -> DataFrame:
+    """Each question answered from its corpus; every fifth document is a cached answer to its own text."""
+    docs = documents(s, d)
+    parts = docs.withColumns({"chunk_size": F.lit(200), "chunk_overlap": F.lit(20), "parent_chunk_size": F.lit(800)})
+    above, below = splitting.chunk_documents(parts)
+    below = below.withColumn("embedding", embed(F.col("content")))
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.left("text", F.lit(200)).alias("query"), "topic_id", F.array().cast("array<string>").alias("sub_topics"), F.array().cast("array<struct<role:string,text:string>>").alias("history"))
+    return answering.answer_requests(asked, below, above, docs.select("topic_id", "sub_topic_id").distinct(), min_score=0.2).withColumn("sources", F.to_json("sources"))
+
+
 def cleaned(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return documents(s, d).select("doc_id", F.md5(text.clean_text(t, False)).alias("raw"), F.md5(text.clean_text(t, True)).alias("markdown"))
@@ -191,12 +246,79 @@ def histories(s: SparkSession, d: str) -> DataFrame:
 
 def rated(s: SparkSession, d: str) -> DataFrame:
     out = chat.feedback_pairs(read(s, d, "conversations"))
-    return out.select("conv_id", "turn", F.md5("question").alias("question"), F.md5("answer").alias("answer"), "n_before")
+    return out.select("conv_id", "turn", F.md5("question").alias("question"), F.md5("answer").alias("answer"), "n_before", F.md5("history").alias("history"))
 
 
 def requests(s: SparkSession, d: str) -> DataFrame:
-    r = documents(s, d).select("doc_id", "topic_id", F.col("text").alias("query"), F.array(F.struct(F.lit("user").alias("role"), F.lit("").alias("text"))).alias("history"))
-    return chat.validate_requests(r).select("doc_id", F.coalesce("reason", F.lit("ok")).alias("reason"), F.size("history").alias("n_history"))
+    """Histories of up to 25 items, some without a role and some with an empty text."""
+    item = lambda i: F.struct(F.when(i % 5 != 0, "user").alias("role"), F.when(i % 3 == 0, "").otherwise("t").alias("text"))
+    history = F.transform(F.filter(F.sequence(F.lit(0), (F.col("doc_id") % 26).cast("int")), lambda i: i > 0), item)
+    topic = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 13 != 0, F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("topic_id")))
+    out = chat.validate_requests(documents(s, d).select("doc_id", topic.alias("topic_id"), F.col("text").alias("query"), history.alias("history")))
+    return out.select("doc_id", F.coalesce("reason", F.lit("ok")).alias("reason"), F.size("history").alias("n_history"), text.history_text(F.col("history")).alias("history"), text.history_json(F.col("history")).alias("json"))
+
+
+def outcomes(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    flag = lambda no, null: F.when(i % no == 0, False).when(i % null != 0, True)
+    rows = documents(s, d).select("doc_id", flag(11, 23).alias("has_config"), flag(7, 29).alias("service_ok"), flag(13, 31).alias("has_embedding"), (i % 5 == 0).alias("cached"), F.when(i % 37 != 0, i % 3).alias("n_context"), flag(17, 19).alias("generated"), (i % 41 == 0).alias("failed"))
+    return chat.classify_outcome(rows).select("doc_id", "status")
+
+
+def feedback(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    rows = documents(s, d).select(F.col("source").alias("query"), F.when(i % 7 != 0, F.when(i % 5 == 0, "").otherwise("a")).alias("answer"), "topic_id", F.when(i % 3 != 0, (i % 4 - 1).cast("int")).alias("rating"), F.lit(None).cast("array<struct<role:string,text:string>>").alias("history"), F.lit(None).cast("string").alias("comment"))
+    return chat.feedback_rows(rows)
+
+
+def pruned(s: SparkSession, d: str) -> DataFrame:
+    return chat.prune_cache(documents(s, d).select("doc_id", (F.col("doc_id") * 600.0).alias("timestamp")), 100_000.0).select("doc_id")
+
+
+def newest(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    files = documents(s, d).select("doc_id", "topic_id", "sub_topic_id", (i % 10).cast("string").alias("source"), (i % 17).alias("modified"), F.concat(F.lit("p"), i).alias("path"))
+    return corpus.latest(files).select("doc_id")
+
+
+def routed(s: SparkSession, d: str) -> DataFrame:
+    ends = F.array(*map(F.lit, [".pdf", ".PNG", ".jpeg", ".tif", ".txt", ".md", ".MD", ".log", ".txt.meta", ".ocr", ""]))
+    names = documents(s, d).select("doc_id", F.concat(F.lit("f"), F.get(ends, (F.col("doc_id") % 11).cast("int"))).alias("name"))
+    out = corpus.route_files(corpus.exclude_artifacts(names))
+    return out.select("doc_id", "route", "is_markdown", text.artifact_name(F.col("name"), F.col("is_markdown")).alias("artifact"), text.suffix(F.col("name")).alias("suffix"))
+
+
+def named_sources(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    docs = documents(s, d).select("doc_id", F.col("source").alias("path"), F.concat(F.lit("r"), i).alias("rel_path"))
+    metas = docs.where("doc_id % 2 = 0").select("path", F.when(i % 6 == 0, "  ").otherwise(F.concat(F.lit(" http://x/"), i, F.lit("\n"))).alias("origin_url"))
+    return corpus.resolve_source(docs, metas).select("doc_id", "source")
+
+
+def listed(s: SparkSession, d: str) -> DataFrame:
+    n = F.substring("sub_topic_id", 4, 9).cast("int")
+    subs = documents(s, d).select("topic_id", "sub_topic_id").distinct().withColumn("description", F.when(n % 3 == 0, "").when(n % 3 == 1, F.upper("sub_topic_id")))
+    return index.list_config(subs)
+
+
+def renamed_tables(s: SparkSession, d: str) -> DataFrame:
+    docs = documents(s, d)
+    tables = index.rename_topic_everywhere(docs, docs.where("doc_id % 4 = 0"), docs.where("doc_id % 3 = 0"), "de", "german")
+    parts = [t.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k)) for k, t in zip(("chunks", "parents", "cache"), tables, strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _with_links(s: SparkSession, d: str) -> DataFrame:
+    """Pages whose menu links end in .pdf."""
+    return read(s, d, "pages").withColumn("html", F.regexp_replace("html", 'href="/([a-z]+)"', 'href="/$1.pdf"'))
+
+
+def page_documents(s: SparkSession, d: str) -> DataFrame:
+    return corpus.pages_to_documents(read(s, d, "pages")).select("page_id", "source", "is_markdown", F.md5("text").alias("digest"))
+
+
+def page_files(s: SparkSession, d: str) -> DataFrame:
+    return corpus.linked_documents(_with_links(s, d)).select("url", "source", "name")
 
 
 def prompts(s: SparkSession, d: str) -> DataFrame:
@@ -215,7 +337,7 @@ def logs(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_links(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "pages").select("page_id", F.explode(text.linked_files(F.col("html"), "e")).alias("link")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("link").alias("first"))
+    return _with_links(s, d).select("page_id", F.explode(text.linked_files(F.col("html"))).alias("link")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("link").alias("first"))
 
 
 def urls(s: SparkSession, d: str) -> DataFrame:
@@ -240,23 +362,38 @@ def sections(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).select("doc_id", F.posexplode(splitting.sections_column(F.col("text"))).alias("n", "section"))
 
 
-def vector_blocks(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.vector_topk_blocks(questions(s, d), chunks(s, d), 30, 0.1)
-
-
+_PAGE = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+for _tag in text.OUTSIDE:
+    _PAGE = f"regexp_replace({_PAGE}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+_PAGE = f"regexp_replace({_PAGE}, '<[^>]*>', ' ', 'g')"
+for _name, _char in text.REFERENCES.items():
+    _PAGE = "replace({}, '{}', '{}')".format(_PAGE, _name, _char.replace("'", "''"))
+_PAGE = rf"trim(regexp_replace({_PAGE}, '[ \t\n\r]+', ' ', 'g'))"
 _STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 _SPLIT = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 SQL_OF: dict[Callable[[SparkSession, str], DataFrame], str | None] = {
-    packed_context: f"WITH {_C}, {_P}, {_Q}, {_V}, best AS (SELECT qid, parent_id, min(rank) AS best FROM vec GROUP BY ALL), ex AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY best, parent_id) AS rank, '[Source: ' || source || ']' || chr(10) || content || chr(10) || chr(10) AS block FROM best JOIN parents USING (parent_id)), run AS (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS total FROM ex) SELECT qid, string_agg(block, '' ORDER BY rank) AS context, count(*) AS n_parents FROM run WHERE total < 30000 GROUP BY qid",
-    citations: f"WITH {_C}, {_P}, {_Q}, {_V}, best AS (SELECT qid, parent_id, min(rank) AS best FROM vec GROUP BY ALL), ex AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY best, parent_id) AS rank, source, sub_topic_id FROM best JOIN parents USING (parent_id)) SELECT qid, string_agg(source || '/' || sub_topic_id, ';' ORDER BY rank) AS sources FROM ex GROUP BY qid",
+    packed_context: f"WITH {_C}, {_P}, {_Q}, {_V}, best AS (SELECT qid, parent_id, min(rank) AS best FROM vec WHERE parent_id IS NOT NULL GROUP BY ALL), ex AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY best, parent_id) AS rank, source, sub_topic_id, content FROM best JOIN usable USING (parent_id)), b AS (SELECT qid, rank, '[Source: ' || source || ']' || chr(10) || content || chr(10) || chr(10) AS block FROM ex), run AS (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS total FROM b) SELECT qid, string_agg(block, '' ORDER BY rank) AS context, count(*) AS n_parents FROM run WHERE total < 30000 GROUP BY qid",
+    citations: f"WITH {_C}, {_P}, {_Q}, {_V}, best AS (SELECT qid, parent_id, min(rank) AS best FROM vec WHERE parent_id IS NOT NULL GROUP BY ALL), ex AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY best, parent_id) AS rank, source, sub_topic_id, content FROM best JOIN usable USING (parent_id)), s AS (SELECT qid, source, min(rank) AS k, min_by(sub_topic_id, rank) AS sub FROM ex GROUP BY ALL) SELECT qid, string_agg(source || '/' || sub, ';' ORDER BY k) AS sources FROM s GROUP BY qid",
     vector: f"WITH {_C}, {_Q}, {_V} SELECT qid, chunk_id, score, rank FROM vec",
     vector_blocks: f"WITH {_C}, {_Q}, {_V} SELECT qid, chunk_id, score, rank FROM vec",
     keyword: f"WITH {_C}, {_Q}, {_KW} SELECT qid, chunk_id, rank FROM kw",
-    fused: f"WITH {_C}, {_Q}, {_V}, {_KW} SELECT qid, chunk_id, max(score) AS vec_score, bool_or(k) AS is_keyword FROM (SELECT qid, chunk_id, score, false AS k FROM vec UNION ALL SELECT qid, chunk_id, NULL, true FROM kw) GROUP BY ALL",
-    reranked: f"WITH {_C}, {_Q}, {_V}, {_KW}, f AS (SELECT DISTINCT qid, chunk_id FROM (SELECT qid, chunk_id FROM vec UNION ALL SELECT qid, chunk_id FROM kw)), l AS (SELECT *, ((chunk_id * 37 + qid) % 101 - 50) / 5.0 AS logit FROM f), r AS (SELECT *, 1 / (1 + exp(-logit)) AS p, row_number() OVER (PARTITION BY qid ORDER BY logit DESC, chunk_id) AS rank FROM l) SELECT qid, chunk_id, rank, round(p, 6) AS prob FROM r WHERE rank <= 25 AND (rank <= 2 OR p >= 0.02)",
-    unscored: f"WITH {_C}, {_Q}, {_V}, {_KW}, f AS (SELECT qid, chunk_id, max(score) AS vec_score, bool_or(k) AS is_keyword FROM (SELECT qid, chunk_id, score, false AS k FROM vec UNION ALL SELECT qid, chunk_id, NULL, true FROM kw) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vec_score DESC NULLS LAST, chunk_id) AS rank FROM f QUALIFY rank <= 25",
-    funnel: f"WITH {_C}, {_Q}, {_V}, {_KW}, f AS (SELECT qid, chunk_id, max(score) AS v, bool_or(k) AS k FROM (SELECT qid, chunk_id, score, false AS k FROM vec UNION ALL SELECT qid, chunk_id, NULL, true FROM kw) GROUP BY ALL) SELECT qid, count(v) AS n_vector, count(*) FILTER (k) AS n_keyword, count(*) AS n_fused FROM f GROUP BY qid",
-    cache_hits: f"WITH {_C} SELECT q.chunk_id AS qid, c.chunk_id AS cache_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) AS score FROM chunks q JOIN chunks c USING (topic_id) WHERE q.chunk_id % 50 = 0 AND round(list_cosine_similarity(q.embedding, c.embedding), 6) >= 0.97 QUALIFY row_number() OVER (PARTITION BY q.chunk_id ORDER BY 3 DESC, c.chunk_id) = 1",
+    fused: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F} SELECT * FROM f",
+    reranked: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F}, {_R} SELECT qid, chunk_id, rank, round(p, 6) AS prob FROM r",
+    reported: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F}, {_R} SELECT qid, rank, chunk_id, replace(substring(content, 1, 80), chr(10), ' ') AS snippet FROM r JOIN chunks USING (chunk_id) WHERE rank <= 10",
+    unscored: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F} SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vec_score DESC NULLS LAST, chunk_id) AS rank FROM f QUALIFY rank <= 25",
+    funnel: f"WITH {_C}, {_P}, {_Q}, {_V}, {_KW}, {_F}, {_R}, e AS (SELECT DISTINCT qid, parent_id FROM r JOIN chunks USING (chunk_id) JOIN usable USING (parent_id)) SELECT qid, (SELECT count(*) FROM vec v WHERE v.qid = x.qid) AS n_vector, (SELECT count(*) FROM kw v WHERE v.qid = x.qid) AS n_keyword, count(*) AS n_fused, (SELECT count(*) FROM r v WHERE v.qid = x.qid) AS n_kept, (SELECT count(*) FROM e v WHERE v.qid = x.qid) AS n_parents FROM f x GROUP BY qid",
+    cache_hits: f"WITH {_C} SELECT q.chunk_id AS qid, c.chunk_id AS cache_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) AS score FROM chunks q JOIN chunks c USING (topic_id) WHERE q.chunk_id % 50 = 0 AND c.chunk_id % 2 = 0 AND round(list_cosine_similarity(q.embedding, c.embedding), 6) >= 0.97 QUALIFY row_number() OVER (PARTITION BY q.chunk_id ORDER BY 3 DESC, c.chunk_id) = 1",
+    scoped: f"WITH {_C}, {_Q}, a AS (SELECT lang, list(DISTINCT source ORDER BY source) AS subs FROM documents WHERE doc_id % 3 = 0 GROUP BY lang) SELECT qid, array_to_string(CASE WHEN len(q.subs) > 0 THEN q.subs ELSE coalesce(a.subs, []) END, ',') AS sub_topics FROM questions q LEFT JOIN a ON a.lang = q.topic_id",
+    outcomes: "SELECT doc_id, CASE WHEN i % 11 = 0 THEN 'Configuration Error' WHEN i % 41 = 0 OR i % 23 = 0 THEN e WHEN i % 7 = 0 THEN 'AI Service Unavailable' WHEN i % 29 = 0 THEN e WHEN i % 13 = 0 THEN 'Embedding Failed' WHEN i % 31 = 0 THEN e WHEN i % 5 = 0 THEN 'success' WHEN i % 37 = 0 THEN e WHEN i % 3 = 0 THEN 'No Relevant Documents' WHEN i % 17 = 0 THEN 'Generation Failed' WHEN i % 19 = 0 THEN e ELSE 'success' END AS status FROM (SELECT doc_id, doc_id AS i, 'Internal Processing Error' AS e FROM documents)",
+    feedback: "SELECT 'doc_' || doc_id AS user_query, 'a' AS ai_response, lang AS topic_id, (doc_id % 4 - 1)::INT AS rating, '[]' AS chat_history, '' AS comment FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0",
+    pruned: "SELECT doc_id FROM documents WHERE doc_id * 600.0 >= 13600",
+    newest: "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 10, lang, source ORDER BY doc_id % 17 DESC, 'p' || doc_id DESC) = 1",
+    routed: "SELECT doc_id, CASE WHEN k = 0 THEN 'pdf' WHEN k IN (1, 2) THEN 'image' WHEN k IN (4, 5, 6) THEN 'text' END AS route, k IN (0, 1, 2, 5, 6) AS is_markdown, 'f' || x || CASE WHEN k IN (0, 1, 2, 5, 6) THEN '.md' ELSE '.ocr' END AS artifact, lower(x) AS suffix FROM (SELECT doc_id, doc_id % 11 AS k, ['.pdf', '.PNG', '.jpeg', '.tif', '.txt', '.md', '.MD', '.log', '.txt.meta', '.ocr', ''][doc_id % 11 + 1] AS x FROM documents) WHERE k NOT IN (8, 9)",
+    named_sources: "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 6 <> 0 THEN 'http://x/' || doc_id ELSE 'r' || doc_id END AS source FROM documents",
+    listed: "SELECT DISTINCT lang AS topic_id, source AS sub_topic_id, CASE WHEN substring(source, 4)::INT % 3 = 1 THEN upper(source) ELSE source END AS description FROM documents",
+    renamed_tables: "SELECT kind, CASE WHEN lang = 'de' THEN 'german' ELSE lang END AS topic_id, count(*) AS n FROM (SELECT 'chunks' AS kind, lang FROM documents UNION ALL SELECT 'parents', lang FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'cache', lang FROM documents WHERE doc_id % 3 = 0 AND lang <> 'de') GROUP BY ALL",
+    page_files: r"""SELECT url, regexp_extract(url, '^(https?://[^/]+)', 1) || link AS source, substring(link, 2) AS name FROM (SELECT url, unnest(list_distinct(regexp_extract_all(regexp_replace(html, 'href="/([a-z]+)"', 'href="/\1.pdf"', 'g'), '(?i)href=[''"]?([^''" >]+\.pdf)', 1))) AS link FROM pages)""",
+    page_documents: f"SELECT page_id, url AS source, false AS is_markdown, md5(t) AS digest FROM (SELECT page_id, url, {_PAGE} AS t FROM pages) WHERE t <> ''",
     cleaned: f"SELECT doc_id, md5({_STRIP.format(chr(114) + 'egexp_replace(t, ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}) AS raw, md5({_STRIP.format('t')}) AS markdown FROM (SELECT doc_id, replace(coalesce(text, ''), '-' || chr(10), '') AS t FROM documents)",
     word_lists: f"SELECT doc_id, array_to_string(list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: x), ' ') AS main, array_to_string(f, ' ') AS fallback FROM (SELECT doc_id, list_transform(list_filter({_SPLIT.format(chr(114) + 'eplace(replace(t, ' + chr(39) + ',' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + '.' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, lambda x: length(x) > 2), lambda x: lower(x)) AS w, list_transform(list_filter({_SPLIT.format('t')}, lambda x: length(x) > 3), lambda x: lower(x)) AS f FROM (SELECT doc_id, text AS t FROM documents))",
     token_index: r"SELECT lang AS topic_id, token, count(*) AS n_docs FROM (SELECT lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) BETWEEN 2 AND 20))) AS token FROM documents) GROUP BY ALL",
@@ -274,17 +411,18 @@ SQL_OF: dict[Callable[[SparkSession, str], DataFrame], str | None] = {
     renamed: "SELECT CASE WHEN lang = 'de' THEN 'german' ELSE lang END AS topic_id, CASE WHEN source = 'src1' THEN 'none' WHEN source = 'src2' AND lang = 'en' THEN 'second' ELSE source END AS sub_topic_id, count(*) AS n FROM documents GROUP BY ALL",
     cascaded: "SELECT DISTINCT CASE WHEN lang = 'de' THEN 'german' ELSE lang END AS topic_id, source AS sub_topic_id FROM documents WHERE lang <> 'fr'",
     histories: "SELECT conv_id, turn, least(len(h), 20) AS n_before, md5(array_to_string(list_slice(h, 1, 20), chr(10))) AS digest FROM (SELECT *, coalesce(list(CASE WHEN role <> 'system' THEN role || ': ' || text END) FILTER (role NOT IN ('system', 'error')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS h FROM conversations) WHERE role = 'user'",
-    rated: "SELECT conv_id, turn, md5(q) AS question, md5(text) AS answer, n_before FROM (SELECT *, lag(text) OVER w AS q, count(CASE WHEN role NOT IN ('system', 'error') THEN text END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS n_before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role IN ('assistant', 'model') AND q IS NOT NULL",
-    requests: f"SELECT doc_id, CASE WHEN {_STRIP.format('text')} = '' THEN 'bad_request' WHEN length(text) > 2000 THEN 'too_large' ELSE 'ok' END AS reason, 0 AS n_history FROM documents",
+    rated: "SELECT conv_id, turn, md5(q) AS question, md5(text) AS answer, len(h) AS n_before, md5(to_json(list_slice(h, 1, 20))::VARCHAR) AS history FROM (SELECT *, lag(text) OVER w AS q, coalesce(list({'role': role, 'text': text}) FILTER (role NOT IN ('system', 'error')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), []) AS h FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role IN ('assistant', 'model') AND q IS NOT NULL",
+    requests: f"WITH r AS (SELECT doc_id, text, list_filter(list_transform(range(1, least(doc_id % 26, 20) + 1), lambda i: {{'role': CASE WHEN i % 5 <> 0 THEN 'user' END, 'text': CASE WHEN i % 3 = 0 THEN '' ELSE 't' END}}), lambda h: h.role IS NOT NULL) AS h FROM documents) SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 OR {_STRIP.format('text')} = '' THEN 'bad_request' WHEN length(text) > 2000 THEN 'too_large' ELSE 'ok' END AS reason, len(h) AS n_history, array_to_string(list_transform(h, lambda x: 'user: ' || x.text), chr(10)) AS history, to_json(h)::VARCHAR AS json FROM r",
     prompts: "SELECT doc_id, lang AS topic_id, CASE WHEN lang IN ('en', 'es') THEN 'general' ELSE upper(lang) END AS prompt FROM documents",
     admitted: "SELECT doc_id FROM documents WHERE length(text) > 20 AND NOT contains(lower(text), 'could not find')",
     logs: "SELECT CASE WHEN event_type = 'purchase' THEN 'ERROR' ELSE 'warning' END AS log_level, count(*) AS n FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1",
-    page_links: r"""SELECT page_id, count(*) AS n, min(link) AS first FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=[''"]?([^''" >]+\.e)', 1)) AS link FROM pages) GROUP BY page_id""",
+    page_links: r"""SELECT page_id, count(*) AS n, min(link) AS first FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, 'href="/([a-z]+)"', 'href="/\1.pdf"', 'g'), '(?i)href=[''"]?([^''" >]+\.pdf)', 1)) AS link FROM pages) GROUP BY page_id""",
     urls: "SELECT doc_id, 'https://example.org/' || lang || '/' || CASE WHEN source = 'src1' THEN '' ELSE source || '/' END || 'doc_' || doc_id AS url, sha256(lang || chr(1) || 'doc_' || doc_id) AS id FROM documents",
     rendered: "SELECT doc_id, md5('Q: doc_' || doc_id || ' [' || text || ']') AS prompt FROM documents",
     split_chunks: None,
     sections: None,
     embedded: None,
+    answered: None,
 }
 QUERIES = {f.__name__: f for f in SQL_OF}
 ORACLE_SQL = {f.__name__: sql for f, sql in SQL_OF.items() if sql}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import strip
+from millrace.functions.text import artifact_name, file_name, linked_files, page_text, resolved, strip, suffix
 
+FEEDBACK = "query string, answer string, topic_id string, rating int, history array<struct<role:string,text:string>>, comment string"
 REQUEST = "qid bigint, query string, topic_id string, sub_topics array<string>, history array<struct<role:string,text:string>>"
 
 
@@ -34,6 +37,31 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST).json(path)
 
 
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FEEDBACK).json(path)
+
+
+def load_config(spark: SparkSession, topics: str, sub_topics: str, kind: str = "parquet", **options: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of topics and sub-topics: paths of files, or table names where kind is jdbc and options name the database."""
+    def load(name: str) -> DataFrame:
+        reader = spark.read.format(kind).options(**options)
+        return reader.option("dbtable", name).load() if kind == "jdbc" else reader.load(name)
+
+    return load(topics), load(sub_topics)
+
+
+def pages_to_documents(pages: DataFrame, extractor: Callable[[Column], Column] = page_text) -> DataFrame:
+    """pages (url, html) with text, source (the URL) and is_markdown (false), without pages that have no text."""
+    found = pages.withColumns({"text": extractor(F.col("html")), "source": F.col("url"), "is_markdown": F.lit(False)}).drop("html")
+    return found.where(F.coalesce(F.col("text"), F.lit("")) != "")
+
+
+def linked_documents(pages: DataFrame, kind: str = "pdf") -> DataFrame:
+    """url (the page), link, source (the link's own URL) and name of each linked file."""
+    links = pages.select("url", F.explode(F.array_distinct(linked_files(F.col("html"), kind))).alias("link"))
+    return links.withColumn("source", resolved(F.col("url"), F.col("link"))).withColumn("name", file_name(F.col("source")))
+
+
 def resolve_source(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     return files.join(sidecars, "path", "left").withColumn("source", F.coalesce(F.nullif(strip(F.col("origin_url")), F.lit("")), F.col("rel_path"))).drop("origin_url")
 
@@ -44,9 +72,10 @@ def exclude_artifacts(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def route_files(files: DataFrame) -> DataFrame:
-    n = F.lower("name")
-    route = F.when(n.endswith(".pdf"), "pdf").when(n.rlike(r"\.(png|jpe?g|tiff?|bmp|webp)$"), "image").when(n.rlike(r"\.(txt|md)$"), "text")
-    return files.withColumns({"route": route, "is_markdown": n.endswith(".md") | n.endswith(".pdf")})
+    """Adds route (null: none) and is_markdown; PDFs and images become markdown."""
+    kind = suffix(F.col("name"))
+    route = F.when(kind == ".pdf", "pdf").when(kind.isin(".png", ".jpg", ".jpeg"), "image").when(kind.isin(".txt", ".md"), "text")
+    return files.withColumns({"route": route, "is_markdown": F.coalesce(route.isin("pdf", "image"), F.lit(False)) | (kind == ".md")})
 
 
 def route_pages(pages: DataFrame, min_chars: int = 50) -> DataFrame:
@@ -82,8 +111,39 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("source").agg(F.array_join(ordered, "\n\n---\n\n").alias("text"), F.count(F.lit(1)).alias("n_pages"))
 
 
-def write_index(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("topic_id", "sub_topic_id").parquet(path)
+def write_artifacts(docs: DataFrame, path: str) -> None:
+    """Extracted texts by artefact name, appended."""
+    docs.select("topic_id", "sub_topic_id", artifact_name(F.col("rel_path"), F.col("is_markdown")).alias("artifact_name"), "text").write.mode("append").partitionBy("topic_id", "sub_topic_id").parquet(path)
+
+
+def write_index(chunks: DataFrame, parents: DataFrame, path: str, version: int) -> None:
+    """A new version of both tables beside the earlier ones, so a version may be read while the next is written.
+
+    Writing a version again replaces it. Chunks come last: read_index sees a
+    version only once its chunks are there.
+    """
+    for name, rows in (("parents", parents), ("chunks", chunks)):
+        rows.write.mode("overwrite").partitionBy("topic_id", "sub_topic_id").parquet(f"{path}/{name}/version={version}")
+
+
+def index_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose chunks are complete, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunks")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    done = [f.getPath() for f in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+
+
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(chunks, parents) of a version, by default the newest; None where there is none."""
+    if version is None:
+        found = index_versions(spark, path)
+        if not found:
+            return None
+        version = found[-1]
+    return tuple(spark.read.parquet(f"{path}/{name}/version={version}") for name in ("chunks", "parents"))
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

@@ -67,9 +67,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t" / "s" / "a.txt").write_text("hello\nworld")
     docs = corpus.read_text_docs(spark, str(tmp_path))
     assert [(r.topic_id, r.sub_topic_id, r.rel_path, r.text) for r in docs.collect()] == [("t", "s", "a.txt", "hello\nworld")]
-    names = spark.createDataFrame([(n,) for n in ("a.md", "a.MD", "a.log", "urls.txt", "b.PDF", "a.txt.meta")], "name string")
-    out = {r.name: r.route for r in corpus.route_files(corpus.exclude_artifacts(names, strict=True)).collect()}
-    assert out == {"a.MD": "text", "a.log": None, "b.PDF": "pdf"}
+    names = spark.createDataFrame([(n,) for n in ("a.md", "a.MD", "a.log", "urls.txt", "b.PDF", "c.JPG", "d.tif", "a.txt.meta")], "name string")
+    out = {r.name: (r.route, r.is_markdown) for r in corpus.route_files(corpus.exclude_artifacts(names, strict=True)).collect()}
+    assert out == {"a.MD": ("text", True), "a.log": (None, False), "b.PDF": ("pdf", True), "c.JPG": ("image", True), "d.tif": (None, False)}
 
 
 def test_replacement_keeps_failed_sources(spark):
@@ -80,4 +80,4 @@ def test_replacement_keeps_failed_sources(spark):
 
 def test_feedback_pairs(spark):
     turns = spark.createDataFrame([(1, 1, "user", "q1"), (1, 2, "model", "a1"), (1, 3, "error", "e"), (1, 4, "user", "q2"), (1, 5, "model", "a2")], "conv_id long, turn long, role string, text string")
-    assert [(r.answer, r.question, r.n_before) for r in chat.feedback_pairs(turns).orderBy("turn").collect()] == [("a1", "q1", 0), ("a2", "q2", 2)]
+    assert [(r.answer, r.question, r.n_before, r.history) for r in chat.feedback_pairs(turns).orderBy("turn").collect()] == [("a1", "q1", 0, "[]"), ("a2", "q2", 2, '[{"role":"user","text":"q1"},{"role":"model","text":"a1"}]')]
