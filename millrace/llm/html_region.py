@@ -1,20 +1,24 @@
 """Main text of HTML pages as a maximum-scoring subsequence.
 
 A page is a run of words and tags. Words score positive and tags negative, with
-weights from labelled pages: for each kind of place (nearest enclosing tag and
-class name that the labels know) the log odds that its words are content, for
-each tag how often it stands outside content. A linear scan finds the contiguous
-region of the largest sum; inside it, places whose words score negative (a
-nested form, an advert, reader comments) give no text.
+weights from labelled pages: for each name of an element (section tags, classes,
+ids, roles) the log of its share of content words over its share of others, for
+each tag how often it stands outside content. The names around a word add up to
+the evidence for it, nearer ones before outer ones, so a name is no veto. A
+linear scan finds the contiguous region of the largest sum; inside it, places
+whose words score negative (a nested form, an advert, reader comments) give no
+text.
 
 Labels: pages that mark their content by an article or main element teach what
-surrounds it; at most `label_rows` pages are used, drawn by hash. Places that
-labels never show keep the weight that their names imply.
-
-Defined results: null or empty html gives an empty text; unclosed tags end with
-their parent; unknown character references stay as they are; rows that repeat an
-id are extracted one by one; an empty table gives an empty result; further
-columns of the input are ignored.
+surrounds it; at most `label_rows` pages are used, drawn by hash. Names that
+labels hardly show say what their words imply, by two fixed lists.
+
+Defined results: null or empty html gives an empty text; a null id or url is
+kept; unclosed tags end with their parent; a stray quote in a tag is part of the
+tag; unknown character references stay as they are; pages of any length are read
+whole; of regions with equal sums the first counts; rows that repeat an id are
+extracted one by one; an empty table gives an empty result; further columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +36,11 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import drawn, in_batches, slices
 
 #: Comments, declarations, tags; text stands between.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]|=)*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z]+")
+_CAMEL, _WORD = re.compile(r"([a-z])([A-Z])"), re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg", "iframe", "select", "title", "math", "canvas", "object")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -46,7 +50,10 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer for
 #: What a name says of the words in its place, before labels are seen.
 OUTSIDE = frozenset("nav navbar navigation menu menus header masthead footer aside sidebar sidebars form ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments discussion reply replies respond breadcrumb breadcrumbs pagination pager widget widgets toolbar button buttons copyright legal disclaimer skip toc tags".split())
 INSIDE = frozenset("article main content body post entry story text".split())
-PRIOR = 2.0
+#: Elements that say something of the words in them; others (p, ul, li, div, ...) occur in articles and outside.
+SECTIONS = frozenset("article main nav header footer aside form menu dialog".split())
+#: Evidence of a name before labels are seen, the bound of learned evidence, and from where on it is strong.
+PRIOR, BOUND, STRONG = 2.0, 3.0, 2.0
 #: Score of a word of a short block that is mostly links.
 LINKED = -0.5
 
@@ -54,19 +61,20 @@ LINKED = -0.5
 class Part:
     """Text of one block, with what decides its score."""
 
-    __slots__ = ("article", "held", "inside", "link", "place", "tags", "text", "words")
+    __slots__ = ("article", "inside", "link", "places", "tags", "text", "words")
 
-    def __init__(self, text: str, place: tuple[str, ...], tags: tuple[str, ...], inside: bool, link: int, words: int) -> None:
-        self.text, self.place, self.tags, self.inside, self.link, self.words = text, place, tags, inside, link, words
-        self.article, self.held = 0, ()  # number of the article around it, names of the places around that
+    def __init__(self, text: str, places: tuple[tuple[str, ...], ...], tags: tuple[str, ...], article: int, inside: bool, link: int) -> None:
+        self.text, self.places, self.tags, self.article, self.inside, self.link = text, places, tags, article, inside, link
+        self.words = len(text.split())
 
 
 def _place(tag: str, attrs: str) -> tuple[str, ...]:
-    found = [tag]
+    """Names of an element: its tag, if that says something, and its classes, id and role."""
+    found = [f"<{tag}>"] if tag in SECTIONS else []
     if attrs and "=" in attrs:
         for m in _NAMES.finditer(attrs):
-            found += _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())
-    return tuple(found)
+            found += (m[1] or m[2] or m[3] or "").split()
+    return tuple(dict.fromkeys(found))
 
 
 def _hidden(attrs: str) -> bool:
@@ -78,11 +86,7 @@ def _hidden(attrs: str) -> bool:
 
 
 def parts(html: str | None) -> list[Part]:
-    """Blocks of a page in order; tags are those that opened or closed before the block.
-
-    The names of html, body, main and article, and of the places that hold the
-    longest article or a main element, do not make a block boilerplate.
-    """
+    """Blocks of a page in order; tags are those that opened or closed before the block, places the names of the open elements, outermost first."""
     if not html:
         return []
     out: list[Part] = []
@@ -99,17 +103,8 @@ def parts(html: str | None) -> list[Part]:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
-                root = next((i for kind in ("article", "main") for i, (t, _, _) in enumerate(stack) if t == kind), -1)
-                near = next((i for i in range(len(stack) - 1, -1, -1) if len(stack[i][1]) > 1 or stack[i][0] in OUTSIDE or stack[i][0] in INSIDE), None)
-                place = ("body",) if near is None else stack[near][1]
-                if near is not None and (near <= root or stack[near][0] in ("html", "body")):
-                    place = (place[0], *(n for n in place[1:] if n not in OUTSIDE))
-                over = tuple(n for i, (t, p, _) in enumerate(stack) for n in p if n not in OUTSIDE or (i > root and t not in ("html", "body")))
-                out.append(Part(text, place, tuple(tags), bool(depth["article"] or depth["main"]), linked, len(text.split())))
-                out[-1].place = (place[0], *dict.fromkeys(n for n in over if n in OUTSIDE or n in INSIDE), *place[1:])
-                if depth["article"]:
-                    out[-1].article = articles
-                    out[-1].held = tuple(n for t, p, _ in stack[:root] if t not in ("html", "body", "main") for n in p if n in OUTSIDE)
+                inside = bool(depth["article"] or depth["main"])
+                out.append(Part(text, tuple(p for _, p, _ in stack if p), tuple(tags), articles if depth["article"] else 0, inside, linked))
                 tags.clear()
             buffer.clear()
             linked = 0
@@ -163,17 +158,41 @@ def parts(html: str | None) -> list[Part]:
     if at < len(html) and not depth["hidden"]:
         buffer.append(html[at:])
     flush()
-    sizes: Counter = Counter()
-    for p in out:
-        sizes[p.article] += p.words if p.article else 0
-    longest = max(sizes, key=sizes.__getitem__, default=0)
-    holds = {n for p in out if p.article == longest for n in p.held}
-    for p in out:
-        if p.article != longest:
-            p.place = (p.place[0], *(n for n in p.held if n not in holds), *p.place[1:])
     return out
 
 
+def _prior(name: str) -> float:
+    """What a name says by its words: a word of a name of several counts in part."""
+    words = _WORD.findall(_CAMEL.sub(r"\1 \2", name).lower())
+    return sum(-PRIOR if w in OUTSIDE else 1.0 if w in INSIDE else 0.0 for w in words) / max(1, len(words)) * (2.0 if name in ("<article>", "<main>") else 1.0)
+
+
+def evidence(part: Part, weights: dict[str, float]) -> float:
+    """What the open elements say of a block's words, the nearer the stronger.
+
+    Names add up, learned weights before the word lists. Strong evidence replaces
+    what outer elements say to the contrary: an article in a place named after a
+    sidebar is content, an advert in an article is not. An article in another
+    one, or inside an element that is no content by its tag, is a teaser and says
+    nothing new.
+    """
+    total, seen, closed = 0.0, False, False
+    for names in part.places:
+        said = 0.0
+        for name in names:
+            if name == "<article>":
+                if seen:
+                    continue
+                seen = True
+            said += weights[k] if (k := f"place {name}") in weights else _prior(name)
+        said = max(-BOUND, min(BOUND, said))
+        if closed and said > 0:
+            continue
+        closed = closed or (said <= -STRONG and any(n[0] == "<" for n in names))
+        total = said if abs(said) >= STRONG and said * total < 0 else total + said
+    return total
+
+
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in slices(batches):
@@ -182,9 +201,10 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not any(p.inside for p in found):
                 continue
             for p in found:
-                if p.inside and any(n in OUTSIDE for n in p.place):
-                    continue
-                for name in set(p.place):
+                if p.inside and evidence(p, {}) < 0:
+                    continue  # boilerplate inside the article teaches neither
+                counts["words", p.inside] += p.words
+                for name in {n for names in p.places for n in names}:
                     counts[f"place {name}", p.inside] += p.words
                 for tag in p.tags:
                     counts[f"tag {tag}", p.inside] += 1
@@ -193,26 +213,32 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(pages: DataFrame, label_rows: int = 5000, most_items: int = 5000) -> dict[str, float]:
-    """Weights of places (per word) and tags from up to label_rows pages that mark their content."""
+    """Weights of places and tags from up to label_rows pages that mark their content.
+
+    A place's weight is the log of its share of content words over its share of
+    other words, within BOUND; places of under 20 words keep what their names say.
+    """
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    rows = drawn(marked.select("html"), F.col("html"), label_rows).transform(in_batches, _observe, "item string, inside boolean, n long").groupBy("item").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "item").limit(most_items).collect()
-    return {r.item: log((r.a + 1) / (r.b + 1)) for r in rows if r.a + r.b >= 20}
+    counted = drawn(marked.select("html"), F.col("html"), label_rows).transform(in_batches, _observe, "item string, inside boolean, n long").groupBy("item").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
+    rows = counted.orderBy(F.desc(F.col("a") + F.col("b")), "item").limit(most_items).collect()
+    total = next((r for r in rows if r.item == "words"), None)
+    if total is None:
+        return {}
+    out = {r.item: log((r.a + 1) / (total.a + 1)) - log((r.b + 1) / (total.b + 1)) if r.item.startswith("place ") else log((r.a + 1) / (r.b + 1)) for r in rows if r.item != "words" and r.a + r.b >= 20}
+    return {k: max(-BOUND, min(BOUND, v)) for k, v in out.items()}
 
 
 def score(part: Part, weights: dict[str, float], marked: bool) -> float:
-    """Score of a word of this part: what the names of its place say, links less.
+    """Score of a word of this part: positive, unless the places around it speak against it or it is mostly links.
 
-    marked: the page has an article or main element, so words beyond it score
-    as their places do there. Boilerplate inside the article interrupts it at
-    little cost and does not end it.
+    marked: the page has an article or main element, so words beyond it count
+    for less. Boilerplate inside the article interrupts it at little cost and
+    does not end it.
     """
-    if any(n in OUTSIDE for n in part.place):
-        return -1.0 / (1 + part.words) if part.inside else -PRIOR
-    if marked:
-        return 1.0 if part.inside else -PRIOR
-    known = [weights[k] for n in part.place if (k := f"place {n}") in weights and n != "body"]
-    value = 1.0 if not known or min(known) >= -1.5 else max(-PRIOR, min(known))
-    return LINKED if value > 0 and part.link * 2 > part.words and part.words < 40 else value
+    said = evidence(part, weights) - (1.0 if marked and not part.inside else 0.0)
+    if said <= -0.9:
+        return -1.0 / (1 + part.words) if part.inside else max(-PRIOR, said)
+    return LINKED if part.link * 2 > part.words and part.words < 40 and not part.inside else 1.0
 
 
 def tag_score(tag: str, weights: dict[str, float]) -> float:
