@@ -1,6 +1,6 @@
 """Approximate nearest neighbours on sharded, robust-pruned directed graphs.
 
-Vectors are dealt to shards of about shard_rows by hash. In a shard a graph is
+Vectors are dealt to shards by hash, each centred and scaled. In a shard a graph is
 built in batches: a greedy beam search proposes neighbours of each new vector,
 relaxed distance pruning (factor alpha) keeps diverse edges, reverse edges are
 added and pruned alike. A query runs a beam search on every shard, and its best
@@ -14,7 +14,8 @@ ties go to the smaller id.
 Defined results: a vector that is null, zero, or holds a null or non-finite
 component takes no part, neither as query nor as candidate; vectors are only
 held against those of their own length; a null id takes no part; rows that
-repeat an id count once for a vector; an empty table gives an empty result.
+repeat an id count once for a vector; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,35 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(sound, F.lit(False)))
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists of doubles, as rows."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return flat.to_numpy().reshape(len(column), -1)
+
+
+class Frame:
+    """Where a shard's vectors lie: walks use them centred and scaled, in single precision.
+
+    Neither a common shift nor a large or tiny magnitude then costs the walk its
+    precision; results are scored on the vectors themselves.
+    """
+
+    def __init__(self, v: np.ndarray) -> None:
+        self.scale = float(np.abs(v).max()) or 1.0
+        self.centre = (v / self.scale).mean(0)
+        self.spread = float(np.abs(v / self.scale - self.centre).max()) or 1.0
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            out = np.nan_to_num((v / self.scale - self.centre) / self.spread)
+        far = np.abs(out).max(1, keepdims=True, initial=0)
+        return np.where(far > _FAR, out / np.maximum(far, 1) * _FAR, out).astype(np.float32)
+
+
+#: A query this many spreads away is walked towards from the same direction at this distance.
+_FAR = 1e6
+
+
 def beam_search(x: np.ndarray, x2: np.ndarray, links: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q the beam nearest nodes that a greedy walk finds, and squared distances.
 
@@ -90,13 +120,14 @@ def robust_prune(x: np.ndarray, of: np.ndarray, near: np.ndarray, degree: int, a
     d[:, 1:][(near[:, 1:] == near[:, :-1])] = np.inf
     out = np.full((len(of), degree), -1, np.int32)
     rows = np.arange(len(of))
+    y2 = np.einsum("ijk,ijk->ij", y, y)
     for k in range(degree):
         at = d.argmin(1)
         good = np.isfinite(d[rows, at])
         if not good.any():
             break
         out[good, k] = near[good, at[good]]
-        between = ((y - y[rows, at][:, None]) ** 2).sum(2)
+        between = y2 + y2[rows, at][:, None] - 2 * (y @ y[rows, at][:, :, None])[:, :, 0]
         d[(alpha * alpha) * between <= d] = np.inf
         d[rows, at] = np.inf
     return out
@@ -142,8 +173,8 @@ def build_graph(x: np.ndarray, degree: int, beam: int, alpha: float, batch: int
 
 def _build(degree: int, beam: int, alpha: float):
     def run(key: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
-        v = np.array(data.column("v").to_pylist(), np.float64)
-        links, start = build_graph(v.astype(np.float32), min(degree, max(1, len(v) - 1)), beam, alpha)
+        v = matrix(data.column("v"))
+        links, start = build_graph(Frame(v).of(v), min(degree, max(1, len(v) - 1)), beam, alpha)
         return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(v)], pa.int32()), "start": pa.array([start], pa.int32()), "vectors": pa.array([v.tobytes()], pa.binary()), "links": pa.array([links.tobytes()], pa.binary()), "ids": pa.array([data.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))})
 
     return run
@@ -152,12 +183,17 @@ def _build(degree: int, beam: int, alpha: float):
 _INDEX = "dim int, shard int, n int, start int, vectors binary, links binary, ids array<array<long>>"
 
 
-def build_index(vectors: DataFrame, k: int = 10, shard_rows: int = 4096, degree: int = 32, build_beam: int = 64, alpha: float = 1.2) -> DataFrame:
-    """The stored shards over usable() vectors. A node keeps its k + 1 smallest ids."""
+def build_index(vectors: DataFrame, k: int = 10, shard_rows: int | None = None, degree: int = 24, build_beam: int = 48, alpha: float = 1.2) -> DataFrame:
+    """The stored shards over usable() vectors. A node keeps its k + 1 smallest ids.
+
+    shard_rows: by default a 64th of the nodes, from 4,096 to 262,144, so that
+    shards grow with the table first and only then in number.
+    """
     ranked = vectors.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("rank") <= k + 1)
     nodes = stored(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    keyed = nodes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
+    n = nodes.count()
+    shards = max(1, -(-n // (shard_rows or min(262_144, max(4096, n // 64)))))
+    keyed = nodes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(shards)).cast("int").alias("shard"), "v", "ids").repartition(4 * shards, "dim", "shard")
     return stored(keyed.groupBy("dim", "shard").applyInArrow(_build(degree, build_beam, alpha), _INDEX), "index")
 
 
@@ -168,11 +204,13 @@ def _search(k: int, beam: int):
                 v = np.frombuffer(row["vectors"]).reshape(row["n"], row["dim"])
                 links = np.frombuffer(row["links"], np.int32).reshape(row["n"], -1)
                 q = np.frombuffer(row["queries"]).reshape(-1, row["dim"])
-                x = v.astype(np.float32)
+                frame = Frame(v)
+                x = frame.of(v)
+                x2 = (x * x).sum(1)
                 out = []
                 for at in range(0, len(q), 512):
                     part = q[at : at + 512]
-                    found, far = beam_search(x, (x * x).sum(1), links, row["start"], part.astype(np.float32), min(beam, len(v)))
+                    found, far = beam_search(x, x2, links, row["start"], frame.of(part), min(beam, len(v)))
                     for i, qid in enumerate(row["query_ids"][at : at + 512]):
                         near = found[i][np.isfinite(far[i])]
                         exact = np.sqrt(((v[near] - part[i]) ** 2).sum(1))
@@ -186,11 +224,11 @@ def _search(k: int, beam: int):
 
 
 def _pack(key: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
-    v = np.array(data.column("v").to_pylist(), np.float64)
+    v = matrix(data.column("v"))
     return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "queries": pa.array([v.tobytes()], pa.binary()), "query_ids": pa.array([data.column("id").to_pylist()], pa.list_(pa.int64()))})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 2048, beam: int = 96, index: DataFrame | None = None, **build) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 2048, beam: int = 80, index: DataFrame | None = None, **build) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that the graphs give each query.
 
     Both inputs have id and v, as usable() returns them. Queries travel in
