@@ -75,10 +75,11 @@ def _train(bits: int):
 def train(docs: DataFrame, bits: int = BITS, smoothing: float = 0.5, max_languages: int = 500) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors, log probabilities [language, bucket], from lang and text of docs."""
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # Languages are counted before anything comes to the driver.
+    if (seen := rows.select("lang").distinct().limit(max_languages + 1).count()) > max_languages:
+        raise ValueError(f"lang has over {seen - 1} values")
     sums = rows.transform(in_batches, _train(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
-    if len(langs) > max_languages:
-        raise ValueError(f"lang has {len(langs)} values")
     place = {x: i for i, x in enumerate(langs)}
     counts = np.zeros((len(langs), (1 << bits) + 1))
     at = np.array([place[x] for x in sums.column("lang").to_pylist()], int)
@@ -87,6 +88,15 @@ def train(docs: DataFrame, bits: int = BITS, smoothing: float = 0.5, max_languag
     return langs, np.log(counts[:, -1] / max(1.0, counts[:, -1].sum())) if langs else np.empty(0), np.log(grams / grams.sum(1, keepdims=True))
 
 
+def _counted(buckets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and how often each occurs; few are sorted, many counted in a dense row."""
+    if len(buckets) < 1 << (bits - 5):
+        return np.unique(buckets, return_counts=True)
+    dense = np.bincount(buckets, minlength=1 << bits)
+    on = np.flatnonzero(dense)
+    return on, dense[on]
+
+
 def _predict(langs: list[str], prior, matrix, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket = np.ascontiguousarray(matrix.value.T) if langs else None
@@ -96,9 +106,8 @@ def _predict(langs: list[str], prior, matrix, bits: int):
                 if not text or not langs or not any(map(str.isalpha, text)):
                     out.append(("und", 0.0))
                     continue
-                found = np.bincount(ngram_buckets(text, bits), minlength=1 << bits)
-                on = np.flatnonzero(found)
-                logs = prior + found[on] @ by_bucket[on]
+                on, found = _counted(ngram_buckets(text, bits), bits)
+                logs = prior + found @ by_bucket[on]
                 best = int(logs.argmax())
                 out.append((langs[best], float(1 / np.exp(logs - logs[best]).sum())))
             a, b = zip(*out, strict=True)
