@@ -66,7 +66,7 @@ class ChunkIds(dict):
     A task owns its chunks: at most 2 * `most`, those met last.
     """
 
-    def __init__(self, path: str, most: int = 50_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         super().__init__()
         self.tokenizer, self.most = _tokenizer(path), most
         self.older: dict[bytes, bytes] = {}
