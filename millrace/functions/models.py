@@ -23,18 +23,64 @@ def hashed_embedding(texts: list[str], size: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+class Loaded:
+    """A hook whose model is made once in each Python worker, at its first call.
+
+    factory takes no argument and gives the function that does the work; name
+    tells models of one worker apart. Only name and factory travel with a task.
+    """
+
+    def __init__(self, name: str, factory: Callable[[], Callable]) -> None:
+        self.name, self.factory = name, factory
+
+    def __call__(self, items: list) -> object:
+        if self.name not in _MODELS:
+            _MODELS[self.name] = self.factory()
+        return _MODELS[self.name](items)
+
+
+_MODELS: dict[str, Callable] = {}
+
+
+def _one_by_one(model: Callable[[list], object], items: list) -> list:
+    """The model's results; if it fails on all items together, those of each alone, None for the ones it fails on."""
+    try:
+        found = list(model(items))
+        if len(found) == len(items):
+            return found
+    except Exception:  # whatever the model raises
+        pass
+    if len(items) == 1:
+        return [None]
+    return [x for item in items for x in _one_by_one(model, [item])]
+
+
 def embed(text: Column, model: Callable[[list[str]], np.ndarray] = hashed_embedding, batch: int = 50) -> Column:
+    """The model's vector of each text; null for a text on which it fails."""
+
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             found: list = []
             for at in range(0, len(part), batch):
-                found += list(model(part.iloc[at : at + batch].fillna("").tolist()).astype(np.float32))
+                found += [None if v is None else np.asarray(v, np.float32) for v in _one_by_one(model, part.iloc[at : at + batch].fillna("").tolist())]
             yield pd.Series(found, index=part.index, dtype=object)
 
     return run(text)
 
 
+def pages_of(content: Column, model: Callable[[list[bytes]], list[list[tuple[str | None, bytes | None]]]]) -> Column:
+    """The model's pages (text, image) of each file, in order; null where it fails. There is no default model."""
+
+    @F.pandas_udf("array<struct<text:string,image:binary>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            found = [None if raw is None else _one_by_one(model, [bytes(raw)])[0] for raw in part]
+            yield pd.Series([None if f is None else [{"text": t, "image": i} for t, i in f] for f in found], index=part.index, dtype=object)
+
+    return run(content)
+
+
 def shared_words(pairs: list[tuple[str, str]]) -> list[float]:
     """Logit-like score of a pair: words of the query that the passage has."""
     return [float(len(set(q.lower().split()) & set(d.lower().split()))) - 1 for q, d in pairs]

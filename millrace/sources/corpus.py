@@ -24,9 +24,15 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     return placed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root)
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text with line ends as one newline; null where they are no UTF-8."""
+    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), r"\r\n?", "\n")
+
+
 def read_text_docs(spark: SparkSession, root: str) -> DataFrame:
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(root, wholetext=True)
-    return placed(found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text")), root)
+    """Text and markdown files, whatever the case of their suffix, with their whole text."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}").load(root)
+    return placed(found.select("path", F.col("modificationTime").alias("modified"), decoded(F.col("content")).alias("text")), root)
 
 
 def read_url_seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -116,35 +122,5 @@ def write_artifacts(docs: DataFrame, path: str) -> None:
     docs.select("topic_id", "sub_topic_id", artifact_name(F.col("rel_path"), F.col("is_markdown")).alias("artifact_name"), "text").write.mode("append").partitionBy("topic_id", "sub_topic_id").parquet(path)
 
 
-def write_index(chunks: DataFrame, parents: DataFrame, path: str, version: int) -> None:
-    """A new version of both tables beside the earlier ones, so a version may be read while the next is written.
-
-    Writing a version again replaces it. Chunks come last: read_index sees a
-    version only once its chunks are there.
-    """
-    for name, rows in (("parents", parents), ("chunks", chunks)):
-        rows.write.mode("overwrite").partitionBy("topic_id", "sub_topic_id").parquet(f"{path}/{name}/version={version}")
-
-
-def index_versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions whose chunks are complete, oldest first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunks")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    done = [f.getPath() for f in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName().removeprefix("version=")) for p in done)
-
-
-def read_index(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """(chunks, parents) of a version, by default the newest; None where there is none."""
-    if version is None:
-        found = index_versions(spark, path)
-        if not found:
-            return None
-        version = found[-1]
-    return tuple(spark.read.parquet(f"{path}/{name}/version={version}") for name in ("chunks", "parents"))
-
-
 def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)

@@ -1,4 +1,4 @@
-"""Streams: incremental ingest into the index, answering, expiry of the answer cache, filtered appends.
+"""Streams: answering, expiry of the answer cache, filtered appends.
 
 Each runs over all that is there and ends (trigger availableNow); the checkpoint
 remembers what has been done, so a rerun goes on from there, and a batch that is
@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.functions.splitting import chunk_documents
 from millrace.operators.chat import feedback_rows, severe_logs
-from millrace.operators.index import replace_sources
 from millrace.sources import corpus
 
 
@@ -33,30 +31,6 @@ def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def ingest_stream(spark: SparkSession, root: str, sub_topics: DataFrame, index: str, checkpoint: str, counter: str = "words") -> StreamingQuery:
-    """New text files under root become a new version of the index, in place of their sources' old rows.
-
-    A batch's version is its number, so a repeated batch replaces itself. Files
-    without configuration or text are left out and keep their old rows.
-    """
-    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").load(root)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
-
-    def handle(batch: DataFrame, number: int) -> None:
-        named = corpus.route_files(corpus.exclude_artifacts(corpus.placed(batch, root))).withColumn("source", F.col("rel_path"))
-        ok, _ = corpus.split_outcomes(corpus.latest(named))
-        docs, _ = corpus.apply_config(ok, sub_topics)
-        docs = docs.where("chunk_overlap <= chunk_size")
-        parents, chunks = chunk_documents(docs, counter)
-        earlier = [v for v in corpus.index_versions(spark, index) if v < number]
-        if earlier:
-            old_chunks, old_parents = corpus.read_index(spark, index, earlier[-1])
-            parents, chunks = replace_sources(old_parents, parents, docs), replace_sources(old_chunks, chunks, docs)
-        corpus.write_index(chunks, parents, index, number)
-
-    return each_batch(files, checkpoint, handle)
-
-
 def answer_stream(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Requests answered against the tables that `answer` holds, a folder of rows for each batch."""
     return each_batch(requests, checkpoint, lambda batch, number: answer(batch).write.mode("overwrite").parquet(f"{path}/batch={number}"))
