@@ -11,8 +11,47 @@ from pyspark.sql import functions as F
 from millrace.functions.models import ask_keywords, embed, extract_answer, generate, hashed_embedding, rewrite_query, shared_words
 from millrace.functions.text import render, sub_topics_key
 from millrace.operators import chat, retrieval
+from millrace.sources.staging import staged
 
 TEMPLATE = "{context_str}\n\nQuestion: {query}"
+SOURCES = "array<struct<file:string,sub_topic:string>>"
+
+
+def prepare_requests(requests: DataFrame, sub_topics: DataFrame, embed_model: Callable[[list[str]], np.ndarray] = hashed_embedding, query_model: Callable[[list[str]], list[str]] | None = None, keyword_model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """Valid requests (qid, query, topic_id, sub_topics, history, ...) with their scope, rewritten query, vector, keywords and cache key.
+
+    has_config is false where the topic has no sub-topics; embedding is null
+    where the model failed.
+    """
+    valid = retrieval.resolve_scope(chat.validate_requests(requests).where("reason is null").drop("reason"), sub_topics)
+    asked = valid.withColumn("query", rewrite_query(F.col("query"), F.col("history"), query_model)).drop("history")
+    return asked.withColumns({"has_config": F.size("sub_topics") > 0, "embedding": embed(F.col("query"), embed_model).cast("array<double>"), "words": ask_keywords(F.col("query"), keyword_model), "sub_topics_key": sub_topics_key(F.col("sub_topics"))})
+
+
+def answer_prepared(
+    asked: DataFrame,
+    hits: DataFrame,
+    chunks: DataFrame,
+    parents: DataFrame,
+    score_model: Callable[[list[tuple[str, str]]], list[float]] = shared_words,
+    answer_model: Callable[[list[str]], list[str]] = extract_answer,
+    min_score: float = 0.6,
+    template: str = TEMPLATE,
+) -> DataFrame:
+    """qid, topic_id, answer, sources, cached, status of prepared requests; hits: qid, cached_answer, cached_sources of those answered already.
+
+    asked is read several times: give it from a table. What models made is
+    written once, so no model sees an item twice.
+    """
+    open_ = asked.where("has_config and size(embedding) > 0").join(hits, "qid", "left_anti")
+    fused = retrieval.fuse(retrieval.vector_topk(open_, chunks, 30, min_score), retrieval.keyword_topk(open_, chunks))
+    kept = retrieval.rerank(fused, open_, chunks, score_model).join(chunks.select("chunk_id", "parent_id"), "chunk_id")
+    found = staged(retrieval.expand_parents(kept, parents), "found")
+    context = retrieval.build_context(found).join(retrieval.cite_sources(found), "qid")
+    made = open_.select("qid", "query").join(context, "qid").withColumn("answer", generate(render(template, context_str=F.col("context"), query=F.col("query")), answer_model)).select("qid", "answer", "sources", F.col("n_parents").alias("found"))
+    rows = asked.select("qid", "topic_id", "has_config", "embedding").join(hits, "qid", "left").join(made, "qid", "left")
+    flags = rows.withColumns({"service_ok": F.col("embedding").isNotNull(), "failed": F.lit(False), "has_embedding": F.size("embedding") > 0, "cached": F.col("cached_answer").isNotNull(), "n_context": F.coalesce("found", F.lit(0)), "generated": F.col("answer").isNotNull()})
+    return chat.classify_outcome(flags).select("qid", "topic_id", F.coalesce("cached_answer", "answer").alias("answer"), F.coalesce("cached_sources", "sources").alias("sources"), "cached", "status")
 
 
 def answer_requests(
@@ -33,20 +72,9 @@ def answer_requests(
     topic_id, sub_topics_key, embedding, answer and sources (array of file and
     sub_topic).
     """
-    valid = retrieval.resolve_scope(chat.validate_requests(requests).where("reason is null"), sub_topics)
-    asked = valid.withColumn("query", rewrite_query(F.col("query"), F.col("history")))
-    asked = asked.withColumns({"has_config": F.size("sub_topics") > 0, "embedding": embed(F.col("query"), embed_model).cast("array<double>"), "words": ask_keywords(F.col("query")), "sub_topics_key": sub_topics_key(F.col("sub_topics"))}).persist()
-    open_ = asked.where("has_config")
-    hits = open_.select("qid").limit(0).select("qid", F.lit("").alias("cached_answer"), F.lit(None).cast("array<struct<file:string,sub_topic:string>>").alias("cached_sources"))
+    asked = staged(prepare_requests(requests, sub_topics, embed_model), "asked")
+    hits = asked.select("qid").limit(0).select("qid", F.lit("").alias("cached_answer"), F.lit(None).cast(SOURCES).alias("cached_sources"))
     if cache is not None:
-        hits = retrieval.cache_lookup(open_, cache).join(cache.select("cache_id", F.col("answer").alias("cached_answer"), F.col("sources").alias("cached_sources")), "cache_id").drop("cache_id", "score")
-        open_ = open_.join(hits, "qid", "left_anti")
-    fused = retrieval.fuse(retrieval.vector_topk_blocks(open_, chunks, 30, min_score), retrieval.keyword_topk(open_, chunks))
-    kept = retrieval.rerank(fused, open_, chunks, score_model).join(chunks.select("chunk_id", "parent_id"), "chunk_id")
-    found = retrieval.expand_parents(kept, parents)
-    context = retrieval.build_context(found).join(retrieval.cite_sources(found), "qid")
-    made = open_.select("qid", "query").join(context, "qid").withColumn("answer", generate(render(template, context_str=F.col("context"), query=F.col("query")), answer_model)).select("qid", "answer", "sources", F.col("n_parents").alias("found"))
-    rows = asked.select("qid", "topic_id", "has_config", "embedding").join(hits, "qid", "left").join(made, "qid", "left")
-    flags = rows.withColumns({"service_ok": F.lit(True), "failed": F.lit(False), "has_embedding": F.col("embedding").isNotNull(), "cached": F.col("cached_answer").isNotNull(), "n_context": F.coalesce("found", F.lit(0)), "generated": F.col("answer").isNotNull()})
-    out = chat.classify_outcome(flags)
-    return out.select("qid", "topic_id", F.coalesce("cached_answer", "answer").alias("answer"), F.coalesce("cached_sources", "sources").alias("sources"), "cached", "status")
+        hits = retrieval.cache_lookup(asked.where("has_config"), cache).join(cache.select("cache_id", F.col("answer").alias("cached_answer"), F.col("sources").alias("cached_sources")), "cache_id").drop("cache_id", "score")
+        hits = staged(hits, "hits")
+    return answer_prepared(asked, hits, chunks, parents, score_model, answer_model, min_score, template)

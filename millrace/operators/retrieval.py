@@ -6,15 +6,15 @@ parent_id, topic_id, sub_topic_id, source, content, embedding), parents.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.models import score_pairs, shared_words
-from millrace.functions.text import cosine, index_tokens, safe_sigmoid, strip
+from millrace.functions.text import index_tokens, safe_sigmoid, strip
+from millrace.operators.nearest import nearest
+from millrace.sources.staging import staged
 
 NO_SOURCE = "Fonte sconosciuta"
 
@@ -37,70 +37,9 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.6, most_queries: int = 10_000) -> DataFrame:
-    """qid, chunk_id, score, rank by cosine inside topic and sub-topic, in SQL expressions.
-
-    Up to most_queries queries are broadcast, so chunks stay where they are,
-    whatever a topic's share of them; larger sets go by blocks.
-    """
-    if queries.count() > most_queries:
-        return vector_topk_blocks(queries, chunks, k, min_score)
-    c = chunks.where("embedding is not null").select("chunk_id", "topic_id", "sub_topic_id", F.col("embedding").alias("v"))
-    q = queries.select("qid", "topic_id", "sub_topics", F.col("embedding").alias("u"))
-    hits = c.join(F.broadcast(q), "topic_id").where(in_scope()).select("qid", "chunk_id", F.round(cosine(F.col("u"), F.col("v")), 6).alias("score"))
-    return ranked(hits.where(F.col("score") >= min_score), k)
-
-
-def vector_topk_blocks(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.6, block_rows: int = 10_000) -> DataFrame:
-    """The same by blocks of about block_rows queries, each broadcast as a matrix and held against all chunks in numpy.
-
-    A task keeps the k best of each query over its whole partition and sends only those on.
-    """
-    blocks = max(1, -(-queries.count() // block_rows))
-    numbered = queries.select("qid", "topic_id", "sub_topics", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).where("embedding is not null")
-    rows = chunks.where("embedding is not null").select("chunk_id", "topic_id", "sub_topic_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    found = [rows.mapInArrow(_best(_asked(numbered.where(F.col("block") == b)), k, min_score), f"qid long, chunk_id {kind}, score double") for b in range(blocks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return ranked(out, k)
-
-
-def _asked(block: DataFrame):
-    """Broadcast of a block of queries by topic: ids, unit vectors, wanted sub-topics (None: all)."""
-    by_topic: dict = {}
-    for r in block.collect():
-        by_topic.setdefault(r.topic_id, []).append(r)
-    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    packed = {t: ([r.qid for r in rs], unit(np.array([r.embedding for r in rs])), [set(r.sub_topics) if r.sub_topics else None for r in rs]) for t, rs in by_topic.items()}
-    return block.sparkSession.sparkContext.broadcast(packed)
-
-
-def _best(asked, k: int, min_score: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, object]]] = {}
-        kind = pa.int64()
-        for batch in batches:
-            kind = batch.schema.field("chunk_id").type
-            ids, topics, subs = (np.array(batch.column(c).to_pylist(), object) for c in ("chunk_id", "topic_id", "sub_topic_id"))
-            for topic in set(topics.tolist()) & asked.value.keys():
-                at = np.flatnonzero(topics == topic)
-                v = np.array(batch.column("embedding").take(pa.array(at)).to_pylist(), float)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                qids, u, wanted = asked.value[topic]
-                for qid, s, want in zip(qids, np.round(u @ v.T, 6), wanted, strict=True):
-                    ok = s >= min_score
-                    if want is not None:
-                        ok &= np.array([x in want for x in subs[at]])
-                    hits = np.flatnonzero(ok)
-                    if len(hits):
-                        both = best.get(qid, []) + list(zip((-s[hits]).tolist(), ids[at[hits]].tolist(), strict=True))
-                        best[qid] = sorted(both)[:k]
-        rows = [(q, c, -s) for q, found in best.items() for s, c in found]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["qid", "chunk_id", "score"])
-
-    return run
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, min_score: float = 0.6, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """qid, chunk_id, score, rank by cosine inside topic and sub-topic: one scan of chunks for all queries (see nearest)."""
+    return ranked(nearest(queries, chunks, k, min_score, broadcast_bytes), k)
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, most_words: int = 1_000_000) -> DataFrame:
@@ -135,19 +74,23 @@ def rerank_cut(scored: DataFrame, k: int = 25, min_prob: float = 0.02, min_keep:
     return out.where((F.col("rank") <= k) & ((F.col("rank") <= min_keep) | (F.col("prob") >= min_prob)))
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, model: Callable[[list[tuple[str, str]]], list[float]] = shared_words, k: int = 25, max_chars: int = 1200) -> DataFrame:
+def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, model: Callable[[list[tuple[str, str]]], list[float]] = shared_words, k: int = 25, max_chars: int = 1200, min_prob: float = 0.02, min_keep: int = 2, most_candidates: int = 1_000_000) -> DataFrame:
     """qid, chunk_id, logit, prob, rank of fused candidates, by the model's score of query and the first max_chars of the chunk.
 
     A query with a candidate that the model could not score keeps its first k
     candidates by vector score instead; their logit and prob are null.
     """
-    content = chunks.select("chunk_id", F.left("content", F.lit(max_chars)).alias("passage")).join(F.broadcast(candidates.select("chunk_id").distinct()), "chunk_id", "left_semi")
-    pairs = candidates.join(content, "chunk_id").join(queries.select("qid", "query"), "qid")
+    fused = staged(candidates, "fused")
+    passages = chunks.select("chunk_id", F.left("content", F.lit(max_chars)).alias("passage"))
+    # A passage meets its questions where it lies, while the candidates are few enough to be sent there.
+    pairs = passages.join(F.broadcast(fused) if fused.count() <= most_candidates else fused, "chunk_id").join(queries.select("qid", "query"), "qid")
     scored = pairs.withColumn("logit", score_pairs(F.col("query"), F.col("passage"), model)).drop("query", "passage")
-    whole = scored.withColumn("missed", F.max(F.col("logit").isNull()).over(Window.partitionBy("qid")))
-    good = rerank_cut(whole.where(~F.col("missed")), k).select("qid", "chunk_id", "logit", "prob", "rank")
-    plain = unscored_cut(whole.where("missed"), k).select("qid", "chunk_id", F.lit(None).cast("double").alias("logit"), F.lit(None).cast("double").alias("prob"), "rank")
-    return good.unionByName(plain)
+    w = Window.partitionBy("qid")
+    order = F.when(F.col("missed"), F.col("vec_score")).otherwise(F.col("logit"))
+    out = scored.withColumn("missed", F.max(F.col("logit").isNull()).over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc_nulls_last(order), "chunk_id")))
+    logit = F.when(~F.col("missed"), F.col("logit"))
+    likely = F.col("missed") | (F.col("rank") <= min_keep) | (safe_sigmoid(F.col("logit")) >= min_prob)
+    return out.where((F.col("rank") <= k) & likely).select("qid", "chunk_id", logit.alias("logit"), safe_sigmoid(logit).alias("prob"), "rank")
 
 
 def retrieval_funnel(vector: DataFrame, keyword: DataFrame, fused: DataFrame, kept: DataFrame, parents: DataFrame) -> DataFrame:
@@ -192,10 +135,10 @@ def rerank_report(scored: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", F.translate(F.substring("content", 1, 80), "\n", " ").alias("snippet"))
 
 
-def cache_lookup(queries: DataFrame, cache: DataFrame, min_score: float = 0.97, block_rows: int = 10_000) -> DataFrame:
-    """qid, cache_id, score: the nearest cached answer of the same topic and selection, by blocks of queries."""
+def cache_lookup(queries: DataFrame, cache: DataFrame, min_score: float = 0.97) -> DataFrame:
+    """qid, cache_id, score: the nearest cached answer of the same topic and selection."""
     key = lambda df: F.to_json(F.struct(df["topic_id"], df["sub_topics_key"]))
     known = lambda df: df.where("topic_id is not null and sub_topics_key is not null")
     q = known(queries).select("qid", key(queries).alias("topic_id"), F.lit(None).cast("array<string>").alias("sub_topics"), "embedding")
     c = known(cache).select(F.col("cache_id").alias("chunk_id"), key(cache).alias("topic_id"), F.lit("").alias("sub_topic_id"), "embedding")
-    return vector_topk_blocks(q, c, 1, min_score, block_rows).select("qid", F.col("chunk_id").alias("cache_id"), "score")
+    return vector_topk(q, c, 1, min_score).select("qid", F.col("chunk_id").alias("cache_id"), "score")

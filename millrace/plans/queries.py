@@ -11,6 +11,7 @@ from millrace.functions import splitting, text
 from millrace.functions.models import embed
 from millrace.operators import answering, chat, index, retrieval
 from millrace.sources import corpus
+from millrace.sources.staging import staged
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +78,7 @@ _D = "docs AS (SELECT doc_id, lang AS topic_id, source AS sub_topic_id, 'doc_' |
 def _hybrid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Chunks, questions and both kinds of hits."""
     c, q = chunks(s, d), questions(s, d)
-    return c, q, retrieval.vector_topk_blocks(q, c, 30, 0.1), retrieval.keyword_topk(q, c)
+    return c, q, retrieval.vector_topk(q, c, 30, 0.1), retrieval.keyword_topk(q, c)
 
 
 def vector(s: SparkSession, d: str) -> DataFrame:
@@ -85,12 +86,12 @@ def vector(s: SparkSession, d: str) -> DataFrame:
 
 
 def vector_blocks(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.vector_topk_blocks(questions(s, d), chunks(s, d), 30, 0.1)
+    return retrieval.vector_topk(questions(s, d), chunks(s, d), 30, 0.1, broadcast_bytes=0)
 
 
 def _expanded(s: SparkSession, d: str) -> DataFrame:
     c = chunks(s, d)
-    kept = retrieval.vector_topk_blocks(questions(s, d), c, 30, 0.1).join(c.select("chunk_id", "parent_id"), "chunk_id")
+    kept = retrieval.vector_topk(questions(s, d), c, 30, 0.1).join(c.select("chunk_id", "parent_id"), "chunk_id")
     return retrieval.expand_parents(kept, parents(c))
 
 
@@ -129,8 +130,9 @@ def unscored(s: SparkSession, d: str) -> DataFrame:
 
 def funnel(s: SparkSession, d: str) -> DataFrame:
     c, q, v, k = _hybrid(s, d)
+    v, k = staged(v, "vector-hits"), staged(k, "keyword-hits")
     f = retrieval.fuse(v, k)
-    kept = retrieval.rerank(f, q, c)
+    kept = staged(retrieval.rerank(f, q, c), "reranked")
     return retrieval.retrieval_funnel(v, k, f, kept, retrieval.expand_parents(kept.join(c.select("chunk_id", "parent_id"), "chunk_id"), parents(c)))
 
 
@@ -151,7 +153,7 @@ def answered(s: SparkSession, d: str) -> DataFrame:
     docs = documents(s, d)
     parts = docs.withColumns({"chunk_size": F.lit(200), "chunk_overlap": F.lit(20), "parent_chunk_size": F.lit(800)})
     above, below = splitting.chunk_documents(parts)
-    below = below.withColumn("embedding", embed(F.col("content")))
+    above, below = staged(above, "parents"), staged(below.withColumn("embedding", embed(F.col("content"))), "chunks")
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.left("text", F.lit(200)).alias("query"), "topic_id", F.array().cast("array<string>").alias("sub_topics"), F.array().cast("array<struct<role:string,text:string>>").alias("history"))
     return answering.answer_requests(asked, below, above, docs.select("topic_id", "sub_topic_id").distinct(), min_score=0.2).withColumn("sources", F.to_json("sources"))
 
@@ -369,6 +371,8 @@ _PAGE = f"regexp_replace({_PAGE}, '<[^>]*>', ' ', 'g')"
 for _name, _char in text.REFERENCES.items():
     _PAGE = "replace({}, '{}', '{}')".format(_PAGE, _name, _char.replace("'", "''"))
 _PAGE = rf"trim(regexp_replace({_PAGE}, '[ \t\n\r]+', ' ', 'g'))"
+_ONE_SPACE = r"regexp_replace(t, '\s+', ' ', 'g')"
+_NO_STOPS = "replace(replace(t, ',', ' '), '.', '')"
 _STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 _SPLIT = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 SQL_OF: dict[Callable[[SparkSession, str], DataFrame], str | None] = {
@@ -394,8 +398,8 @@ SQL_OF: dict[Callable[[SparkSession, str], DataFrame], str | None] = {
     renamed_tables: "SELECT kind, CASE WHEN lang = 'de' THEN 'german' ELSE lang END AS topic_id, count(*) AS n FROM (SELECT 'chunks' AS kind, lang FROM documents UNION ALL SELECT 'parents', lang FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'cache', lang FROM documents WHERE doc_id % 3 = 0 AND lang <> 'de') GROUP BY ALL",
     page_files: r"""SELECT url, regexp_extract(url, '^(https?://[^/]+)', 1) || link AS source, substring(link, 2) AS name FROM (SELECT url, unnest(list_distinct(regexp_extract_all(regexp_replace(html, 'href="/([a-z]+)"', 'href="/\1.pdf"', 'g'), '(?i)href=[''"]?([^''" >]+\.pdf)', 1))) AS link FROM pages)""",
     page_documents: f"SELECT page_id, url AS source, false AS is_markdown, md5(t) AS digest FROM (SELECT page_id, url, {_PAGE} AS t FROM pages) WHERE t <> ''",
-    cleaned: f"SELECT doc_id, md5({_STRIP.format(chr(114) + 'egexp_replace(t, ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}) AS raw, md5({_STRIP.format('t')}) AS markdown FROM (SELECT doc_id, replace(coalesce(text, ''), '-' || chr(10), '') AS t FROM documents)",
-    word_lists: f"SELECT doc_id, array_to_string(list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: x), ' ') AS main, array_to_string(f, ' ') AS fallback FROM (SELECT doc_id, list_transform(list_filter({_SPLIT.format(chr(114) + 'eplace(replace(t, ' + chr(39) + ',' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + '.' + chr(39) + ', ' + chr(39) + chr(39) + ')')}, lambda x: length(x) > 2), lambda x: lower(x)) AS w, list_transform(list_filter({_SPLIT.format('t')}, lambda x: length(x) > 3), lambda x: lower(x)) AS f FROM (SELECT doc_id, text AS t FROM documents))",
+    cleaned: f"SELECT doc_id, md5({_STRIP.format(_ONE_SPACE)}) AS raw, md5({_STRIP.format('t')}) AS markdown FROM (SELECT doc_id, replace(coalesce(text, ''), '-' || chr(10), '') AS t FROM documents)",
+    word_lists: f"SELECT doc_id, array_to_string(list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: x), ' ') AS main, array_to_string(f, ' ') AS fallback FROM (SELECT doc_id, list_transform(list_filter({_SPLIT.format(_NO_STOPS)}, lambda x: length(x) > 2), lambda x: lower(x)) AS w, list_transform(list_filter({_SPLIT.format('t')}, lambda x: length(x) > 3), lambda x: lower(x)) AS f FROM (SELECT doc_id, text AS t FROM documents))",
     token_index: r"SELECT lang AS topic_id, token, count(*) AS n_docs FROM (SELECT lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) BETWEEN 2 AND 20))) AS token FROM documents) GROUP BY ALL",
     sigmoids: "SELECT event_id, round(CASE WHEN value - 110 < -100 THEN 0.0 ELSE 1 / (1 + exp(-(value - 110))) END, 6) AS p FROM events",
     page_routes: f"SELECT lang AS topic_id, CASE WHEN length({_STRIP.format('text')}) < 50 THEN 'image' ELSE 'markdown' END AS route, count(*) AS n FROM documents GROUP BY ALL",

@@ -64,10 +64,15 @@ def _columns(schema: str) -> list[str]:
     return out
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of Parquet was written to its end."""
+    fs, mark = _folder(spark, f"{path}/_SUCCESS")
+    return fs.exists(mark)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Versions whose manifest is complete, oldest first."""
-    fs, _ = _folder(spark, path)
-    done = [n for n in _names(spark, f"{path}/manifest") if fs.exists(_folder(spark, f"{path}/manifest/{n}/_SUCCESS")[1])]
+    done = [n for n in _names(spark, f"{path}/manifest") if complete(spark, f"{path}/manifest/{n}")]
     return sorted(int(n.removeprefix("version=")) for n in done)
 
 

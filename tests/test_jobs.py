@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import models, splitting, text
-from millrace.operators import answering, retrieval
+from millrace.operators import answering, nearest, retrieval
 from millrace.sources import corpus
 from millrace.streaming import jobs
 
@@ -139,13 +139,28 @@ def test_cached_answers_expire_once(spark, tmp_path):
     assert set(first) <= {"a", "b"} and run() == ["a", "b"]
 
 
-def test_vector_search_by_blocks_equals_the_plain_form(spark):
+def test_vector_search_equals_plain_python(spark):
     rng = np.random.default_rng(3)
     vec = lambda: [float(x) for x in rng.normal(size=8)]
-    chunks = spark.createDataFrame([(i, "t" if i % 3 else "u", f"s{i % 2}", vec() if i % 7 else None) for i in range(200)], "chunk_id long, topic_id string, sub_topic_id string, embedding array<double>").repartition(5)
+    chunks = spark.createDataFrame([(i, "t" if i % 3 else "u", f"s{i % 2}", vec() if i % 7 else None) for i in range(200)] + [(200 + i, "t", "s1", v) for i, v in enumerate(([], [1.0], [0.0] * 8, [float("nan")] * 8, [float("inf")] * 8, [1.0] * 9, [1e200] * 8))], "chunk_id long, topic_id string, sub_topic_id string, embedding array<double>").repartition(5)
     queries = spark.createDataFrame([(q, "t", ["s1"] if q % 2 else [], vec()) for q in range(9)], "qid long, topic_id string, sub_topics array<string>, embedding array<double>")
-    plain = retrieval.vector_topk(queries, chunks, 5, 0.1)
-    blocks = retrieval.vector_topk_blocks(queries, chunks, 5, 0.1, block_rows=2)
+    few, many = retrieval.vector_topk(queries, chunks, 5, 0.1), retrieval.vector_topk(queries, chunks, 5, 0.1, broadcast_bytes=0)
     rows = lambda df: sorted(tuple(r) for r in df.select("qid", "rank", "chunk_id", "score").collect())
-    assert rows(plain) == rows(blocks) and plain.count() > 20
-    assert "CartesianProduct" not in plain._jdf.queryExecution().toString() and "BroadcastHashJoin" in plain._jdf.queryExecution().toString()
+    want = []
+    for q in queries.collect():
+        near = []
+        for c in chunks.collect():
+            if c.topic_id == q.topic_id and (not q.sub_topics or c.sub_topic_id in q.sub_topics) and c.embedding is not None and len(c.embedding) == len(q.embedding):
+                u, v = np.array(q.embedding), np.array(c.embedding)
+                if np.isfinite(v).all() and v.any():
+                    near.append((-round(float(u @ v / np.linalg.norm(u) / np.linalg.norm(v)), 6), c.chunk_id))
+        want += [(q.qid, n + 1, c, -s) for n, (s, c) in enumerate(sorted(near)[:5]) if -s >= 0.1]
+    assert rows(few) == rows(many) == sorted(want) and few.count() > 20
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_first_k_with_ties():
+    scores = np.array([[0.5, 0.9, 0.9, 0.9, 0.1], [0.2, 0.2, 0.1, -np.inf, 0.0]])
+    row, column = nearest.first_k(scores, 2, 0.15)
+    assert list(zip(row.tolist(), column.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 0), (1, 1)]
