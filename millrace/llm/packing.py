@@ -204,11 +204,13 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 16, rate: floa
     is solved anew over what is left until it places under a tenth of that, and
     the last pieces are packed best-fit. Where the sequences then exceed the dual
     bound, configurations that leave a gap are opened again and join the last
-    pieces. The work follows the histogram, not the corpus.
+    pieces. Where best fit alone needs fewer sequences than all that, its plan is
+    taken. The work follows the histogram, not the corpus.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
+    plain = _remainder(left, capacity)
     plan: Counter[Configuration] = Counter()
     least = 0.0
     while total := int(left.sum()):
@@ -230,7 +232,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 16, rate: floa
             if sum(x * c for x, c in key) < capacity:
                 for x, c in key:
                     left[x] += n * c
-        best = min(best, full + _remainder(left, capacity), key=lambda p: sum(n for _, n in p))
+        best = min(best, full + _remainder(left, capacity), plain, key=lambda p: sum(n for _, n in p))
     return best
 
 

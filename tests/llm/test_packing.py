@@ -67,3 +67,17 @@ def test_ids_equal_the_tokenizer():
         for _ in range(2):
             assert np.frombuffer(known.of(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
     assert len(known) <= 9 and len(known.older) <= 9
+
+
+@pytest.mark.parametrize("most", [64, 512, 2048])
+def test_never_above_best_fit_on_uniform_lengths(most):
+    rng = np.random.default_rng(most)
+    need = np.bincount(rng.integers(1, most + 1, 100_000), minlength=2049)
+    plan = packing.solve({int(x): int(need[x]) for x in np.flatnonzero(need)}, 2048)
+    held = np.zeros_like(need)
+    for config, times in plan:
+        assert sum(x * n for x, n in config.items()) <= 2048
+        for x, n in config.items():
+            held[x] += n * times
+    assert (held == need).all()
+    assert sum(t for _, t in plan) <= sum(t for _, t in packing._remainder(need, 2048))
