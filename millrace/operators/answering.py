@@ -37,14 +37,17 @@ def answer_prepared(
     answer_model: Callable[[list[str]], list[str]] = extract_answer,
     min_score: float = 0.6,
     template: str = TEMPLATE,
+    posted: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """qid, topic_id, answer, sources, cached, status of prepared requests; hits: qid, cached_answer, cached_sources of those answered already.
 
     asked is read several times: give it from a table. What models made is
-    written once, so no model sees an item twice.
+    written once, so no model sees an item twice. posted: postings and terms of
+    the index, where it has them; without, chunks are searched for keywords.
     """
     open_ = asked.where("has_config and size(embedding) > 0").join(hits, "qid", "left_anti")
-    fused = retrieval.fuse(retrieval.vector_topk(open_, chunks, 30, min_score), retrieval.keyword_topk(open_, chunks))
+    keyword = retrieval.keyword_topk(open_, chunks) if posted is None else retrieval.posted_topk(open_, *posted)
+    fused = retrieval.fuse(retrieval.vector_topk(open_, chunks, 30, min_score), keyword)
     kept = retrieval.rerank(fused, open_, chunks, score_model).join(chunks.select("chunk_id", "parent_id"), "chunk_id")
     found = staged(retrieval.expand_parents(kept, parents), "found")
     context = retrieval.build_context(found).join(retrieval.cite_sources(found), "qid")

@@ -62,6 +62,51 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, most_words:
     return first.where(F.col("rank") <= k).distinct()
 
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """topic_id, sub_topic_id, token, chunk_id: the chunks of every token, in files sorted by token, so that a scan for few tokens skips the rest."""
+    rows = chunks.select("topic_id", "sub_topic_id", F.explode(index_tokens(F.col("content"))).alias("token"), "chunk_id")
+    order = ["topic_id", "sub_topic_id", "token"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def terms(found: DataFrame) -> DataFrame:
+    """topic_id, sub_topic_id, token, n: how many chunks of a partition hold the token."""
+    return found.groupBy("topic_id", "sub_topic_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def starting_tokens(queries: DataFrame, counts: DataFrame) -> DataFrame:
+    """qid, word, topic_id, sub_topics, token, rest: each keyword's rarest token in its topic, and its other tokens.
+
+    counts: terms(). A keyword with a token that its topic lacks is left out: nothing can match it.
+    """
+    asked = queries.select("qid", "topic_id", "sub_topics", F.posexplode("words").alias("word", "text")).withColumn("needed", index_tokens(F.col("text"))).where(F.size("needed") > 0).drop("text")
+    wanted = asked.select("qid", "word", "topic_id", F.explode("needed").alias("token"))
+    known = counts.groupBy("topic_id", "token").agg(F.sum("n").alias("n")).join(wanted, ["topic_id", "token"])
+    rarest = known.groupBy("qid", "word").agg(F.min(F.struct("n", "token")).alias("least"), F.count(F.lit(1)).alias("met"))
+    found = asked.join(rarest, ["qid", "word"]).where(F.col("met") == F.size("needed"))
+    return found.select("qid", "word", "topic_id", "sub_topics", F.col("least.token").alias("token"), F.array_remove("needed", F.col("least.token")).alias("rest"))
+
+
+def posted_topk(queries: DataFrame, found: DataFrame, counts: DataFrame, k: int = 40, most_words: int = 1_000_000) -> DataFrame:
+    """keyword_topk from stored postings and their terms: no chunk is read.
+
+    A keyword starts at its rarest token, and only the chunks of that are
+    tested for its other tokens, again in the postings.
+    """
+    asked = staged(starting_tokens(queries, counts), "keywords")
+    small = asked.count() <= most_words
+    known = found.where(F.col("topic_id").isNotNull())
+    hits = known.join(F.broadcast(asked) if small else asked, ["topic_id", "token"]).where(in_scope()).select("qid", "word", "topic_id", "chunk_id", "rest")
+    single = hits.where(F.size("rest") == 0).select("qid", "chunk_id")
+    open_ = staged(hits.where(F.size("rest") > 0), "postings-open")
+    tests = open_.select("qid", "word", "topic_id", "chunk_id", F.size("rest").alias("needed"), F.explode("rest").alias("token"))
+    tests = F.broadcast(tests) if small and open_.count() <= most_words else tests
+    met = known.select("topic_id", "token", "chunk_id").join(tests, ["topic_id", "token", "chunk_id"]).groupBy("qid", "word", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"))
+    both = single.unionByName(met.where(F.col("n") == F.col("needed")).select("qid", "chunk_id"))
+    first = both.withColumn("rank", F.dense_rank().over(Window.partitionBy("qid").orderBy("chunk_id")))
+    return first.where(F.col("rank") <= k).distinct()
+
+
 def fuse(vector: DataFrame, keyword: DataFrame) -> DataFrame:
     both = vector.select("qid", "chunk_id", "score", F.lit(False).alias("kw")).unionByName(keyword.select("qid", "chunk_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("kw")))
     return both.groupBy("qid", "chunk_id").agg(F.max("score").alias("vec_score"), F.max("kw").alias("is_keyword"))

@@ -108,6 +108,13 @@ def keyword(s: SparkSession, d: str) -> DataFrame:
     return retrieval.keyword_topk(questions(s, d), chunks(s, d))
 
 
+def keyword_postings(s: SparkSession, d: str) -> DataFrame:
+    """The same from stored postings and their counts."""
+    c = chunks(s, d)
+    found = staged(retrieval.postings(c), "postings")
+    return retrieval.posted_topk(questions(s, d), found, retrieval.terms(found))
+
+
 def fused(s: SparkSession, d: str) -> DataFrame:
     _, _, v, k = _hybrid(s, d)
     return retrieval.fuse(v, k)
@@ -381,6 +388,7 @@ SQL_OF: dict[Callable[[SparkSession, str], DataFrame], str | None] = {
     vector: f"WITH {_C}, {_Q}, {_V} SELECT qid, chunk_id, score, rank FROM vec",
     vector_blocks: f"WITH {_C}, {_Q}, {_V} SELECT qid, chunk_id, score, rank FROM vec",
     keyword: f"WITH {_C}, {_Q}, {_KW} SELECT qid, chunk_id, rank FROM kw",
+    keyword_postings: f"WITH {_C}, {_Q}, {_KW} SELECT qid, chunk_id, rank FROM kw",
     fused: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F} SELECT * FROM f",
     reranked: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F}, {_R} SELECT qid, chunk_id, rank, round(p, 6) AS prob FROM r",
     reported: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F}, {_R} SELECT qid, rank, chunk_id, replace(substring(content, 1, 80), chr(10), ' ') AS snippet FROM r JOIN chunks USING (chunk_id) WHERE rank <= 10",

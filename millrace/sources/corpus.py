@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import artifact_name, file_name, linked_files, page_text, resolved, strip, suffix
+from millrace.sources.staging import exists, staged
 
 FEEDBACK = "query string, answer string, topic_id string, rating int, history array<struct<role:string,text:string>>, comment string"
 REQUEST = "qid bigint, query string, topic_id string, sub_topics array<string>, history array<struct<role:string,text:string>>"
@@ -118,8 +119,19 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
 
 
 def write_artifacts(docs: DataFrame, path: str) -> None:
-    """Extracted texts by artefact name, appended."""
-    docs.select("topic_id", "sub_topic_id", artifact_name(F.col("rel_path"), F.col("is_markdown")).alias("artifact_name"), "text").write.mode("append").partitionBy("topic_id", "sub_topic_id").parquet(path)
+    """Extracted texts by artefact name, in place of earlier ones of the same folder and name.
+
+    Only the folders (topic, sub-topic) that docs has are written anew.
+    """
+    place = ["topic_id", "sub_topic_id", "artifact_name"]
+    spark = docs.sparkSession
+    new = docs.select("topic_id", "sub_topic_id", artifact_name(F.col("rel_path"), F.col("is_markdown")).alias("artifact_name"), "text").groupBy(*place).agg(F.max("text").alias("text"))
+    rows = staged(new, "artifacts")
+    if exists(spark, path):
+        old = spark.read.schema("artifact_name string, text string, topic_id string, sub_topic_id string").parquet(path)
+        kept = old.join(rows.select(place[:2]).distinct(), place[:2], "left_semi").join(rows, place, "left_anti")
+        rows = staged(rows.unionByName(kept.select(rows.columns)), "artifacts")  # read before its folders are written over
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place[:2]).parquet(path)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

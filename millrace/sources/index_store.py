@@ -24,6 +24,9 @@ TABLES = {
     "chunks": "chunk_id string, parent_id string, topic_id string, sub_topic_id string, source string, child_index int, content string, embedding array<float>",
     "parents": "parent_id string, topic_id string, sub_topic_id string, source string, parent_index int, content string, headers map<string,string>",
     "sidecars": "topic_id string, sub_topic_id string, rel_path string, origin_url string",
+    "artifacts": "topic_id string, sub_topic_id string, artifact_name string, text string",
+    "postings": "topic_id string, sub_topic_id string, token string, chunk_id string",
+    "terms": "topic_id string, sub_topic_id string, token string, n long",
 }
 _MANIFEST = "table_name string, topic_id string, sub_topic_id string, folder string, writer string, batch long"
 

@@ -128,8 +128,8 @@ def answer_lookups(spark: SparkSession, lookups: str, index: str, answers: str,
         asked = found.select("asked.*")
         hits = found.where("hit is not null").select("asked.qid", F.col("hit.answer").alias("cached_answer"), F.from_json("hit.sources", SOURCES).alias("cached_sources"))
         with index_store.pinned(spark, index) as version:
-            chunks, parents = (index_store.read_table(spark, index, name, version) for name in ("chunks", "parents"))
-            out = staged(answer_prepared(asked, hits, chunks, parents, **models), "answered").withColumn("index_version", F.lit(version).cast("long"))
+            chunks, parents, *posted = (index_store.read_table(spark, index, name, version) for name in ("chunks", "parents", "postings", "terms"))
+            out = staged(answer_prepared(asked, hits, chunks, parents, posted=tuple(posted), **models), "answered").withColumn("index_version", F.lit(version).cast("long"))
         new = chat.cacheable(out.where("status = 'success' and not cached")).join(asked.select("qid", "sub_topics_key", "embedding", "asked_at"), "qid")
         entries = new.select(row_id(F.lit(checkpoint), F.lit(number), F.col("qid")).alias("cache_id"), "topic_id", "sub_topics_key", "embedding", "answer", "sources", F.col("asked_at").alias("ts"))
         _write_once(spark, entries, f"{cache}/batch={number}")

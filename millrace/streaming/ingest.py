@@ -23,7 +23,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.models import embed, hashed_embedding, ocr, pages_of
 from millrace.functions.splitting import chunk_documents
+from millrace.functions.text import artifact_name
 from millrace.operators.index import SOURCE, replace_sources
+from millrace.operators.retrieval import postings, terms
 from millrace.sources import corpus, index_store
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -118,6 +120,12 @@ class Ingest:
             old = index_store.read_table(spark, self.index, name, None, changed)
             new = index_store.conform(rows.join(done, SOURCE, "left_semi"), name)
             tables[name] = replace_sources(resourced(old, moves), new, done), changed
+        posted = self._staged(postings(tables["chunks"][0]), "postings", number)
+        tables["postings"], tables["terms"] = (posted, changed), (terms(posted), changed)
+        texts = judged.where(F.col("message").isNull() | F.col("message").isin(BAD_SIZES, NOT_EMBEDDED)).select(*index_store.PARTITION, artifact_name(F.col("rel_path"), F.col("is_markdown")).alias("artifact_name"), "text")
+        extracted_in = pairs(texts)
+        kept = index_store.read_table(spark, self.index, "artifacts", None, extracted_in).join(texts, [*index_store.PARTITION, "artifact_name"], "left_anti")
+        tables["artifacts"] = kept.unionByName(texts), extracted_in
         return index_store.write_version(spark, self.index, tables, self.writer, number)
 
     def _judged(self, docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -50,6 +50,9 @@ def test_two_drops_are_answered_from_the_index_alone(spark, tmp_path):
     assert c.chunks()["other", "new/c d%.TXT"] == "stars shine at night\nabove the hills"
     chunks, parents = index_store.read_index(spark, c.index)
     assert chunks.where("embedding is null").count() == 0 and {r.source: r.headers for r in parents.collect()}["b.MD"] == {"Header 1": "H"}
+    posted, counts = (index_store.read_table(spark, c.index, name) for name in ("postings", "terms"))
+    assert {(r.sub_topic_id, r.n) for r in counts.where("token = 'the'").collect()} == {("s", 2), ("other", 1)} and posted.where("token = 'apples'").join(chunks, "chunk_id").count() == 1
+    assert {(r.artifact_name, r.text) for r in index_store.read_table(spark, c.index, "artifacts").collect()} == {("a.txt.ocr", "apples grow on trees in the garden"), ("b.MD.md", "# H\nrivers run to the sea"), ("new/c d%.TXT.ocr", "stars shine at night\nabove the hills")}
     asked = spark.createDataFrame([(1, "apples in the garden", "t"), (2, "stars shine at night", "t")], "qid long, query string, topic_id string").withColumns({"sub_topics": F.array().cast("array<string>"), "history": F.array().cast("array<struct<role:string,text:string>>")})
     got = {r.qid: r for r in answering.answer_requests(asked, chunks, parents, c.subs, min_score=0.3).collect()}
     assert got[1].sources[0].file == "a.txt" and got[2].sources[0].file == "new/c d%.TXT" and {r.status for r in got.values()} == {"success"}

@@ -21,7 +21,9 @@ def test_configuration_and_artifacts(spark, tmp_path):
     assert got.collect() == subs.collect() == topics.collect()
     docs = spark.createDataFrame([("t", "s", "a.md", True, "x"), ("t", "s", "b.txt", False, "y")], "topic_id string, sub_topic_id string, rel_path string, is_markdown boolean, text string")
     corpus.write_artifacts(docs, str(tmp_path / "artifacts"))
-    assert sorted(r.artifact_name for r in spark.read.parquet(str(tmp_path / "artifacts")).collect()) == ["a.md.md", "b.txt.ocr"]
+    more = spark.createDataFrame([("t", "s", "a.md", True, "new"), ("t", "u", "a.md", True, "z")], docs.schema)
+    corpus.write_artifacts(more, str(tmp_path / "artifacts"))
+    assert sorted((r.sub_topic_id, r.artifact_name, r.text) for r in spark.read.parquet(str(tmp_path / "artifacts")).collect()) == [("s", "a.md.md", "new"), ("s", "b.txt.ocr", "y"), ("u", "a.md.md", "z")]
     corpus.append_rows(docs, f"{tmp_path}/rows")
     corpus.append_rows(docs, f"{tmp_path}/rows")
     assert spark.read.parquet(f"{tmp_path}/rows").count() == 4
@@ -164,3 +166,18 @@ def test_first_k_with_ties():
     scores = np.array([[0.5, 0.9, 0.9, 0.9, 0.1], [0.2, 0.2, 0.1, -np.inf, 0.0]])
     row, column = nearest.first_k(scores, 2, 0.15)
     assert list(zip(row.tolist(), column.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 0), (1, 1)]
+
+
+def test_a_keyword_starts_at_its_rarest_token(spark):
+    rows = [(f"c{i:03}", "t" if i % 10 else "u", f"s{i % 2}", "everywhere " * (i % 9 > 0) + ("rare " if i in (7, 12, 63) else "") + f"w{i}") for i in range(100)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, topic_id string, sub_topic_id string, content string")
+    asked = [(1, "t", [], ["everywhere-rare"]), (2, "t", ["s1"], ["rare"]), (3, "t", [], ["everywhere"]), (4, "t", [], ["everywhere-missing", "!!"]), (5, "t", [], ["rare", "everywhere-w5", "rare w12"]), (6, None, [], ["rare"]), (7, "u", None, ["everywhere"])]
+    queries = spark.createDataFrame(asked, "qid long, topic_id string, sub_topics array<string>, words array<string>")
+    found = retrieval.postings(chunks)
+    starts = {(r.qid, r.word): (r.token, r.rest) for r in retrieval.starting_tokens(queries, retrieval.terms(found)).collect()}
+    assert starts[1, 0] == ("rare", ["everywhere"]) and (4, 0) not in starts and starts[5, 1] == ("w5", ["everywhere"])
+    read = found.join(queries.where("qid = 1").select("topic_id"), "topic_id").where("token = 'rare'").count()
+    assert read == 3  # the chunks that the first query's keyword is tested on, not the 80 of its longest token
+    got = sorted(tuple(r) for r in retrieval.posted_topk(queries, found, retrieval.terms(found), 30).select("qid", "chunk_id", "rank").collect())
+    assert got == sorted(tuple(r) for r in retrieval.keyword_topk(queries, chunks, 30).select("qid", "chunk_id", "rank").collect())
+    assert [c for q, c, _ in got if q == 1] == ["c007", "c012"] and len([1 for q, *_ in got if q == 3]) == 30
