@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from millrace.functions import splitting, text
 from millrace.functions.models import embed
 from millrace.operators import answering, chat, index, retrieval
-from millrace.sources import corpus
-from millrace.sources.staging import staged
+from millrace.sources import corpus, index_store
+from millrace.sources.staging import staged, staging_folder
+from millrace.streaming import ingest
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +167,39 @@ def answered(s: SparkSession, d: str) -> DataFrame:
     return answering.answer_requests(asked, below, above, docs.select("topic_id", "sub_topic_id").distinct(), min_score=0.2).withColumn("sources", F.to_json("sources"))
 
 
+def _ingested(s: SparkSession, d: str) -> tuple[str, str]:
+    """Index and outcomes after documents came as files: one in ten with a sidecar, as many with one that comes a batch later.
+
+    Files of src3 lie in sub-topics without a chunk size, those of src4 in some whose overlap is too large.
+    """
+    root, place = "file:///corpus", f"{staging_folder(s)}/ingest-{uuid.uuid4().hex}"
+    docs = documents(s, d).withColumn("path", F.concat_ws("/", F.lit(root), "topic_id", "sub_topic_id", F.concat("source", F.lit(".txt"))))
+    files = lambda rows, path, content: rows.select(path.alias("path"), F.timestamp_seconds(F.lit(0)).alias("modificationTime"), F.lit(0).cast("long").alias("length"), content.cast("binary").alias("content"))
+    sidecars = lambda digit: files(docs.where(F.col("doc_id") % 10 == digit), F.concat("path", F.lit(".meta")), F.concat(F.lit(" https://example.org/"), "source", F.lit("\n")))
+    size = F.when(F.col("sub_topic_id") != "src3", 200)
+    sub_topics = docs.select("topic_id", "sub_topic_id").distinct().withColumns({"chunk_size": size, "chunk_overlap": F.when(F.col("sub_topic_id") == "src4", 300).otherwise(20), "parent_chunk_size": F.lit(800)})
+    step = ingest.Ingest(root, sub_topics, f"{place}/index", f"{place}/outcomes", "query")
+    step(files(docs, F.col("path"), F.col("text")).unionByName(sidecars(0)), 0)
+    step(sidecars(1), 1)
+    return f"{place}/index", f"{place}/outcomes"
+
+
+def ingested(s: SparkSession, d: str) -> DataFrame:
+    """What each source has in the index, and in the tables that are kept with it."""
+    index, _ = _ingested(s, d)
+    chunks_, parents_ = index_store.read_index(s, index)
+    held = parents_.groupBy("topic_id", "sub_topic_id", "source").agg(F.min("parent_index").alias("first_parent"))
+    whole = chunks_.groupBy("source").agg(F.count_if(F.size("embedding") != 64).alias("n_bad_vectors"), F.min("child_index").alias("first_child"))
+    return held.join(whole, "source")
+
+
+def ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """What became of each file."""
+    _, outcomes = _ingested(s, d)
+    rows = s.read.parquet(outcomes)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "topic_id", "sub_topic_id", "source", "ok", F.coalesce("message", F.lit("")).alias("message"))
+
+
 def cleaned(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return documents(s, d).select("doc_id", F.md5(text.clean_text(t, False)).alias("raw"), F.md5(text.clean_text(t, True)).alias("markdown"))
@@ -388,6 +423,8 @@ SQL_OF: dict[Callable[[SparkSession, str], DataFrame], str | None] = {
     vector: f"WITH {_C}, {_Q}, {_V} SELECT qid, chunk_id, score, rank FROM vec",
     vector_blocks: f"WITH {_C}, {_Q}, {_V} SELECT qid, chunk_id, score, rank FROM vec",
     keyword: f"WITH {_C}, {_Q}, {_KW} SELECT qid, chunk_id, rank FROM kw",
+    ingested: f"SELECT lang AS topic_id, source AS sub_topic_id, CASE WHEN doc_id % 10 IN (0, 1) THEN 'https://example.org/doc_' || doc_id ELSE 'doc_' || doc_id || '.txt' END AS source, 0 AS first_parent, 0 AS n_bad_vectors, 0 AS first_child FROM documents WHERE source NOT IN ('src3', 'src4') AND {_STRIP.format('text')} <> ''",
+    ingest_outcomes: "SELECT 'doc_' || doc_id || '.txt' AS name, lang AS topic_id, source AS sub_topic_id, CASE WHEN doc_id % 10 = 0 THEN 'https://example.org/doc_' || doc_id ELSE 'doc_' || doc_id || '.txt' END AS source, m = '' AS ok, m AS message FROM (SELECT *, CASE WHEN source = 'src3' THEN 'chunk size not configured' WHEN coalesce(text, '') = '' THEN 'no readable text' WHEN source = 'src4' THEN 'overlap is larger than chunk size' ELSE '' END AS m FROM documents)",
     keyword_postings: f"WITH {_C}, {_Q}, {_KW} SELECT qid, chunk_id, rank FROM kw",
     fused: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F} SELECT * FROM f",
     reranked: f"WITH {_C}, {_Q}, {_V}, {_KW}, {_F}, {_R} SELECT qid, chunk_id, rank, round(p, 6) AS prob FROM r",

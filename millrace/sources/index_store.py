@@ -126,7 +126,10 @@ def write_version(spark: SparkSession, path: str, tables: dict[str, tuple[DataFr
         if not touched:
             continue
         where = f"{name}/version={number}"
-        conform(rows, name).write.mode("overwrite").partitionBy(*PARTITION).parquet(f"{path}/{where}")
+        whole = conform(rows, name)
+        # A partition is a file or, where it is large, several; postings are dealt out and sorted by token already.
+        dealt = whole if name == "postings" else whole.hint("rebalance", *PARTITION)
+        dealt.write.mode("overwrite").partitionBy(*PARTITION).parquet(f"{path}/{where}")
         for topic in _names(spark, f"{path}/{where}"):
             if topic.startswith("topic_id="):
                 entries += [(name, *(unquote(part.split("=", 1)[1]) for part in (topic, sub)), f"{where}/{topic}/{sub}", writer, batch) for sub in _names(spark, f"{path}/{where}/{topic}")]
