@@ -45,44 +45,60 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class Frame:
-    """Where a shard's vectors lie: walks use them centred and scaled, in single precision.
+    """Where a shard's vectors lie: walks use them centred on the medians and scaled by a median deviation.
 
-    Neither a common shift nor a large or tiny magnitude then costs the walk its
-    precision; results are scored on the vectors themselves.
+    Distances are sums of squared differences in double precision, so neither a
+    common shift, nor far clusters, nor single vectors of any finite size cost
+    the others their precision. Results are scored on the vectors themselves.
     """
 
     def __init__(self, v: np.ndarray) -> None:
-        self.scale = float(np.abs(v).max()) or 1.0
-        self.centre = (v / self.scale).mean(0)
-        self.spread = float(np.abs(v / self.scale - self.centre).max()) or 1.0
+        self.centre = np.median(v, 0)
+        with np.errstate(over="ignore"):
+            off = np.nan_to_num(np.abs(v - self.centre)).max(1)
+        self.spread = float(np.median(off)) or float(off[off > 0].min(initial=np.inf)) if off.any() else 1.0
 
     def of(self, v: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            out = np.nan_to_num((v / self.scale - self.centre) / self.spread)
+            out = np.nan_to_num((v - self.centre) / self.spread)
         far = np.abs(out).max(1, keepdims=True, initial=0)
-        return np.where(far > _FAR, out / np.maximum(far, 1) * _FAR, out).astype(np.float32)
+        return np.where(far > _FAR, out / np.maximum(far, 1) * _FAR, out)
+
 
+#: A vector this many spreads away is walked to in its direction at this distance, whose square is finite.
+_FAR = 1e140
+#: Nodes at which each walk begins: half of them far from each other, so that every far cluster has one, half at random.
+ENTRIES = 32
 
-#: A query this many spreads away is walked towards from the same direction at this distance.
-_FAR = 1e6
+
+def entries(x: np.ndarray, most: int = ENTRIES) -> np.ndarray:
+    """The medoid, nodes each farthest from those before, and random ones."""
+    n = len(x)
+    found = [int(((x - np.median(x, 0)) ** 2).sum(1).argmin())]
+    least = np.full(n, np.inf)
+    while len(found) < min(most // 2, n):
+        least = np.minimum(least, ((x - x[found[-1]]) ** 2).sum(1))
+        found.append(int(least.argmax()))
+    more = np.random.default_rng(2).permutation(n)[: most - len(found)]
+    return np.unique(np.concatenate([found, more])).astype(np.int32)
 
 
-def beam_search(x: np.ndarray, x2: np.ndarray, links: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, links: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q the beam nearest nodes that a greedy walk finds, and squared distances.
 
     links holds -1 where a node has fewer neighbours. All queries walk at once;
     a step opens the nearest unopened node of each beam.
     """
-    rows = np.arange(len(q))
-    q2 = (q * q).sum(1)
     ids = np.full((len(q), beam), -1, np.int32)
-    far = np.full((len(q), beam), np.inf, np.float32)
+    far = np.full((len(q), beam), np.inf)
     opened = np.ones((len(q), beam), bool)
-    ids[:, 0], opened[:, 0] = start, False
-    far[:, 0] = q2 + x2[start] - 2 * (q @ x[start])
+    first = np.stack([((q - x[s]) ** 2).sum(1) for s in starts], 1)
+    order = np.argsort(first, axis=1, kind="stable")[:, :beam]
+    ids[:, : order.shape[1]], opened[:, : order.shape[1]] = starts[order], False
+    far[:, : order.shape[1]] = np.take_along_axis(first, order, 1)
     seen = np.zeros((len(q), len(x)), bool)
-    seen[:, start] = True
-    live = rows
+    seen[:, starts] = True
+    live = np.arange(len(q))
     while len(live):
         at = np.where(opened[live], np.inf, far[live]).argmin(1)
         opened[live, at] = True
@@ -92,8 +108,9 @@ def beam_search(x: np.ndarray, x2: np.ndarray, links: np.ndarray, start: int, q:
         if len(i):
             nodes = near[i, j]
             seen[live[i], nodes] = True
-            d = np.full(near.shape, np.inf, np.float32)
-            d[i, j] = q2[live[i]] + x2[nodes] - 2 * np.einsum("ij,ij->i", q[live[i]], x[nodes])
+            d = np.full(near.shape, np.inf)
+            step = x[nodes] - q[live[i]]
+            d[i, j] = np.einsum("ij,ij->i", step, step)
             all_far = np.concatenate([far[live], d], 1)
             order = np.argpartition(all_far, beam - 1, axis=1)[:, :beam]
             take = lambda a: np.take_along_axis(a, order, 1)
@@ -112,8 +129,8 @@ def robust_prune(x: np.ndarray, of: np.ndarray, near: np.ndarray, degree: int, a
     alpha, nearer to one that stays than to the node.
     """
     near = np.where(near == of[:, None], -1, near)
-    y = x[near]
-    d = ((y - x[of][:, None]) ** 2).sum(2)
+    y = x[near] - x[of][:, None]  # seen from the node, so that neighbours of a far cluster stay apart
+    d = (y * y).sum(2)
     d[near < 0] = np.inf
     order = np.argsort(d, axis=1, kind="stable")
     near, d, y = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1), np.take_along_axis(y, order[:, :, None], 1)
@@ -133,18 +150,19 @@ def robust_prune(x: np.ndarray, of: np.ndarray, near: np.ndarray, degree: int, a
     return out
 
 
-def build_graph(x: np.ndarray, degree: int, beam: int, alpha: float, batch: int = 256) -> tuple[np.ndarray, int]:
-    """Links (-1: none) and entry node of the graph over the rows of x."""
+def build_graph(x: np.ndarray, degree: int, beam: int, alpha: float, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Links (-1: none) and entry nodes of the graph over the rows of x."""
     n = len(x)
-    start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    x2 = (x * x).sum(1)
+    starts = entries(x)
     links = np.full((n, degree), -1, np.int32)
     order = np.random.default_rng(1).permutation(n).astype(np.int32)
-    order = np.concatenate([[start], order[order != start]]).astype(np.int32)
-    done = 1
+    order = np.concatenate([starts, order[~np.isin(order, starts)]]).astype(np.int32)
+    done = len(starts)
+    if done > 1:  # the entries know each other
+        links[starts] = robust_prune(x, starts, np.tile(starts, (done, 1)), degree, alpha)
     while done < n:
         new = order[done : done + min(batch, max(1, done))]
-        found, _ = beam_search(x, x2, links, start, x[new], min(beam, done + 1))
+        found, _ = beam_search(x, links, starts, x[new], beam)
         links[new] = robust_prune(x, new, found, degree, alpha)
         source = np.repeat(new, degree)
         target = links[new].ravel()
@@ -168,31 +186,32 @@ def build_graph(x: np.ndarray, degree: int, beam: int, alpha: float, batch: int
             if (~room).any():
                 links[of[~room]] = robust_prune(x, of[~room], both[~room], degree, alpha)
         done += len(new)
-    return links, start
+    return links, starts
 
 
 def _build(degree: int, beam: int, alpha: float):
     def run(key: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
         v = matrix(data.column("v"))
-        links, start = build_graph(Frame(v).of(v), min(degree, max(1, len(v) - 1)), beam, alpha)
-        return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(v)], pa.int32()), "start": pa.array([start], pa.int32()), "vectors": pa.array([v.tobytes()], pa.binary()), "links": pa.array([links.tobytes()], pa.binary()), "ids": pa.array([data.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))})
+        links, starts = build_graph(Frame(v).of(v), min(degree, max(1, len(v) - 1)), beam, alpha)
+        return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(v)], pa.int32()), "starts": pa.array([starts.tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary()), "links": pa.array([links.tobytes()], pa.binary()), "ids": pa.array([data.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))})
 
     return run
 
 
-_INDEX = "dim int, shard int, n int, start int, vectors binary, links binary, ids array<array<long>>"
+_INDEX = "dim int, shard int, n int, starts binary, vectors binary, links binary, ids array<array<long>>"
 
 
-def build_index(vectors: DataFrame, k: int = 10, shard_rows: int | None = None, degree: int = 24, build_beam: int = 48, alpha: float = 1.2) -> DataFrame:
+def build_index(vectors: DataFrame, k: int = 10, shard_rows: int | None = None, shard_bytes: int = 128 << 20, degree: int = 24, build_beam: int = 48, alpha: float = 1.2) -> DataFrame:
     """The stored shards over usable() vectors. A node keeps its k + 1 smallest ids.
 
-    shard_rows: by default a 64th of the nodes, from 4,096 to 262,144, so that
-    shards grow with the table first and only then in number.
+    shard_rows: by default a 64th of the nodes, at least 4,096 and at most what
+    shard_bytes of vectors hold, so that shards grow with the table first and
+    only then in number.
     """
     ranked = vectors.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("rank") <= k + 1)
     nodes = stored(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
-    n = nodes.count()
-    shards = max(1, -(-n // (shard_rows or min(262_144, max(4096, n // 64)))))
+    n, dims = nodes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    shards = max(1, -(-n // (shard_rows or max(1, min(shard_bytes // (8 * (dims or 1)), max(4096, n // 64))))))
     keyed = nodes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(shards)).cast("int").alias("shard"), "v", "ids").repartition(4 * shards, "dim", "shard")
     return stored(keyed.groupBy("dim", "shard").applyInArrow(_build(degree, build_beam, alpha), _INDEX), "index")
 
@@ -204,13 +223,12 @@ def _search(k: int, beam: int):
                 v = np.frombuffer(row["vectors"]).reshape(row["n"], row["dim"])
                 links = np.frombuffer(row["links"], np.int32).reshape(row["n"], -1)
                 q = np.frombuffer(row["queries"]).reshape(-1, row["dim"])
-                frame = Frame(v)
+                frame, starts = Frame(v), np.frombuffer(row["starts"], np.int32)
                 x = frame.of(v)
-                x2 = (x * x).sum(1)
                 out = []
                 for at in range(0, len(q), 512):
                     part = q[at : at + 512]
-                    found, far = beam_search(x, x2, links, row["start"], frame.of(part), min(beam, len(v)))
+                    found, far = beam_search(x, links, starts, frame.of(part), beam)
                     for i, qid in enumerate(row["query_ids"][at : at + 512]):
                         near = found[i][np.isfinite(far[i])]
                         exact = np.sqrt(((v[near] - part[i]) ** 2).sum(1))

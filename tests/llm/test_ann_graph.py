@@ -27,6 +27,28 @@ def test_recall_does_not_depend_on_where_vectors_lie(spark, scale, shift):
     assert len(got) == 30 and np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["outlier", "huge", "halves", "clusters"])
+def test_recall_with_outliers_and_far_clusters(spark, kind):
+    x = np.random.default_rng(7).normal(size=(2000, 32))
+    if kind in ("outlier", "huge"):
+        x[1] = 1e12 if kind == "outlier" else 1e300
+    elif kind == "halves":
+        x[1000:] += 1e7
+    else:
+        x += np.repeat(np.random.default_rng(8).normal(size=(10, 32)) * 1e7, 200, 0)
+    v = ann_graph.usable(table(spark, x))
+    got = {}
+    for r in ann_graph.nearest(v, v.where("id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q, found in got.items():
+        with np.errstate(over="ignore"):
+            far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits.append(len(found & set(np.argsort(far, kind="stable")[:10].tolist())) / 10)
+    assert len(got) == 40 and np.mean(hits) >= 0.9
+
+
 def test_empty_repeated_and_extra(spark):
     x = np.random.default_rng(5).normal(size=(60, 4))
     frame = table(spark, x).withColumn("id", F.lit("clash")).withColumn("v", F.lit(1))
