@@ -27,7 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
-from math import log
+from math import log, log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +54,7 @@ INSIDE = frozenset("article main content body post entry story text".split())
 SECTIONS = frozenset("article main nav header footer aside form menu dialog".split())
 #: Evidence of a name before labels are seen, the bound of learned evidence, and from where on it is strong.
 PRIOR, BOUND, STRONG = 2.0, 3.0, 2.0
-#: Score of a word of a short block that is mostly links.
+#: Score of a word of a block that is mostly links, where labels say nothing of such blocks.
 LINKED = -0.5
 
 
@@ -204,6 +204,8 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if p.inside and evidence(p, {}) < 0:
                     continue  # boilerplate inside the article teaches neither
                 counts["words", p.inside] += p.words
+                if p.link * 2 > p.words:
+                    counts["linked", p.inside] += p.words
                 for name in {n for names in p.places for n in names}:
                     counts[f"place {name}", p.inside] += p.words
                 for tag in p.tags:
@@ -215,8 +217,8 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(pages: DataFrame, label_rows: int = 5000, most_items: int = 5000) -> dict[str, float]:
     """Weights of places and tags from up to label_rows pages that mark their content.
 
-    A place's weight is the log of its share of content words over its share of
-    other words, within BOUND; places of under 20 words keep what their names say.
+    The weight of a place, and of blocks that are mostly links, is the log of its
+    share of content words over its share of other words, within BOUND; places of under 20 words keep what their names say.
     """
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
     counted = drawn(marked.select("html"), F.col("html"), label_rows).transform(in_batches, _observe, "item string, inside boolean, n long").groupBy("item").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
@@ -224,7 +226,7 @@ def learn(pages: DataFrame, label_rows: int = 5000, most_items: int = 5000) -> d
     total = next((r for r in rows if r.item == "words"), None)
     if total is None:
         return {}
-    out = {r.item: log((r.a + 1) / (total.a + 1)) - log((r.b + 1) / (total.b + 1)) if r.item.startswith("place ") else log((r.a + 1) / (r.b + 1)) for r in rows if r.item != "words" and r.a + r.b >= 20}
+    out = {r.item: log((r.a + 1) / (total.a + 1)) - log((r.b + 1) / (total.b + 1)) if r.item == "linked" or r.item.startswith("place ") else log((r.a + 1) / (r.b + 1)) for r in rows if r.item != "words" and r.a + r.b >= 20}
     return {k: max(-BOUND, min(BOUND, v)) for k, v in out.items()}
 
 
@@ -233,12 +235,18 @@ def score(part: Part, weights: dict[str, float], marked: bool) -> float:
 
     marked: the page has an article or main element, so words beyond it count
     for less. Boilerplate inside the article interrupts it at little cost and
-    does not end it.
+    does not end it. A block whose words are mostly links, whatever its length,
+    counts as such blocks do on the pages that mark their content; where that is
+    for little, its cost grows with the log of its words, so that a long menu
+    parts the text around it hardly more than a short one.
     """
     said = evidence(part, weights) - (1.0 if marked and not part.inside else 0.0)
     if said <= -0.9:
         return -1.0 / (1 + part.words) if part.inside else max(-PRIOR, said)
-    return LINKED if part.link * 2 > part.words and part.words < 40 and not part.inside else 1.0
+    if part.link * 2 <= part.words or part.inside:
+        return 1.0
+    linked = min(1.0, weights.get("linked", LINKED))
+    return linked if linked > 0 else linked * log2(1 + part.words) / part.words
 
 
 def tag_score(tag: str, weights: dict[str, float]) -> float:
@@ -266,7 +274,7 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
     for p, w in zip(found, words, strict=True):
         sums += [sum(tag_score(t, weights) for t in p.tags), w * p.words]
     a, b = best_region(sums)
-    kept = [p.text for i, (p, w) in enumerate(zip(found, words, strict=True)) if a <= 2 * i + 1 < b and (w > 0 or w == LINKED)]
+    kept = [p.text for i, (p, w) in enumerate(zip(found, words, strict=True)) if a <= 2 * i + 1 < b and w > 0]
     return " ".join(kept)
 
 

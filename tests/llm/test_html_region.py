@@ -67,3 +67,24 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and got[0] == (1, "", 0) and got[1] == (None, "", 0) and got[2] == got[3] == (2, "a", 1)
     assert got[4][2] == len("word & more ") * 50_000 - 1 and got[5][1] == "no tags" and got[7][1] == "&bogus; éA"
     assert html_region.main_text(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("links", [3, 39, 60, 500])
+def test_a_menu_between_paragraphs_is_left_out_whatever_its_length(links):
+    paragraph = "<p>" + "Words of the story that is told here, at some length, without any link. " * 6 + "</p>"
+    menu = "<div class='zone'>" + " ".join(f"<a href='/{i}'>topic {i}</a>" for i in range(links)) + "</div>"
+    for marked, (before, after) in ((False, ("<div>", "</div>")), (True, ("", ""))):
+        page = f"<html><body>{before}{paragraph}{menu}{paragraph}{after}</body></html>"
+        for weights in ({}, {"linked": -3.0}):
+            text = html_region.extract(page, weights)
+            assert text.count("story") == 12 and "topic" not in text, (marked, weights)
+
+
+def test_blocks_of_links_count_as_labelled_pages_say(spark):
+    """Where marked content holds blocks of links, such blocks are content elsewhere too."""
+    linked = "<p>" + " ".join(f"<a href='/{i}'>word{i} more{i}</a>" for i in range(30)) + "</p>"
+    plain = "<p>" + "some plain words of the text " * 10 + "</p>"
+    pages = spark.createDataFrame([(f"<article>{linked}{plain}</article><footer>{'all rights are kept ' * 8}</footer>",)] * 3, "html string")
+    weights = html_region.learn(pages)
+    assert weights["linked"] > 0 and "word3" in html_region.extract(f"<div>{plain}{linked}{plain}</div>", weights)
+    assert "word3" not in html_region.extract(f"<div>{plain}{linked}{plain}</div>", {})
