@@ -241,4 +241,4 @@ def test_pipeline_stages(spark):
 
 
 def test_queries_are_named():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
