@@ -92,3 +92,81 @@ def test_sampled_are_the_kept(spark):
     kept = {r.doc_id for r in mixing.mix(docs).where("kept").collect()}
     out = mixing.sampled(docs)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == kept
+
+
+def plain_draw(rows, raked, bins=1024):
+    """Ids kept and probability of each cell: whole bins of draws, a source's last ones taken so that its errors cancel."""
+    cells = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        cells[r.source, r.lang, r.topic][int(r.draw * bins)] += r.n_tokens
+    tokens = {k: sum(v.values()) for k, v in cells.items()}
+    most = max((w / tokens[k] for k, w in raked.items()), default=0)
+    odds = {k: min(1.0, w / tokens[k] / most) for k, w in raked.items()}
+    limit, last = {}, defaultdict(list)
+    for k, p in odds.items():
+        limit[k] = 1.0 if p >= 1 else 0.0
+        before = 0
+        for b in sorted(x for x, n in cells[k].items() if n):
+            if 0 < p < 1 and before <= p * tokens[k] < before + cells[k][b]:
+                last[k[0]].append((-cells[k][b], k, p * tokens[k] - before, b))
+            before += cells[k][b]
+    for found in last.values():
+        off = 0.0
+        for size, k, over, b in sorted(found):
+            off -= over
+            take = abs(off - size) < abs(off)
+            off += -size if take else 0
+            limit[k] = (b + take) / bins
+    return {r.doc_id for r in rows if r.n_tokens == 0 or r.draw < limit[r.source, r.lang, r.topic]}, odds
+
+
+def plain_fit(rows, stated):
+    cells = defaultdict(int)
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    cells = {k: v for k, v in cells.items() if v}
+    if not stated:
+        return plain_rake(cells, plain_targets(cells, {}))
+    at = [mixing.MARGINS.index(m) for m in stated]
+    alone = plain_targets(cells, stated)
+    base = {k: v for k, v in cells.items() if all(alone[m][k[m]] for m in at)}
+    assert len(at) == 1
+    sums = defaultdict(float)
+    for k, v in base.items():
+        sums[k[at[0]]] += v
+    base = {k: v * alone[at[0]][k[at[0]]] / sums[k[at[0]]] for k, v in base.items()}
+    return {**dict.fromkeys(cells, 0.0), **plain_rake(base, plain_targets(base, stated))}
+
+
+@pytest.mark.parametrize("stated", [{}, {"lang": {"en": 0.5, "de": 0.5}}])
+def test_the_draw_equals_a_plain_one(spark, rows, stated):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = rows.collect()
+    want, odds = plain_draw(held, plain_fit(held, stated))
+    got = mixing.mix(docs, targets=stated).collect()
+    assert {r.doc_id for r in got if r.kept} == want
+    for r in got:
+        assert r.probability == pytest.approx(odds[r.source, r.lang, r.topic] if r.n_tokens else 1, abs=1e-9)
+        assert not (r.kept and r.probability == 0)
+
+
+def test_stated_halves_stay_halves_of_a_large_sample(spark):
+    docs, stated = spark.read.parquet(f"{SF}/documents.parquet"), {"lang": {"en": 0.5, "de": 0.5}}
+    out = mixing.mix(docs, targets=stated)
+    tokens = {r.lang: (r.all, r.held) for r in out.groupBy("lang").agg(F.sum("n_tokens").alias("all"), F.sum(F.when(F.col("kept"), F.col("n_tokens")).otherwise(0)).alias("held")).collect()}
+    held = sum(h for _, h in tokens.values())
+    assert tokens["fr"][1] == tokens["es"][1] == 0
+    assert held > 0.7 * 2 * tokens["de"][0]  # no sample with halves has more than twice the German tokens
+    for r in mixing.margins_met(out, stated).collect():
+        # Eighty cells of a few documents each, drawn whole; errors cancel within a source only.
+        assert r.target == pytest.approx(r.share, abs=0.05 if r.margin == "topic" else 0.03)
+
+
+def test_a_loss_lets_a_sample_grow_past_its_smallest_cell(spark):
+    rows = [(i, "a", "en", "x", "w " * 100) for i in range(400)] + [(1000 + i, "a", "de", "x", "w " * 100) for i in range(400)]
+    rows += [(2000 + i, "b", "de", "y", "w " * 100) for i in range(400)] + [(3000, "b", "en", "y", "w " * 100)]
+    docs, how = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, text string"), {"targets": {"lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.5, "y": 0.5}}, "temper": {"source": 1.0}, "weights": {}}
+    share = lambda out: {r.lang: r.share for r in mixing.margins_met(out, **how).where("margin = 'lang'").withColumnRenamed("value", "lang").collect()}
+    exact, loose = mixing.mix(docs, **how), mixing.mix(docs, loss=0.04, **how)
+    assert 20 < exact.where("kept").count() < 80 and loose.where("kept").count() > 700
+    assert all(abs(v - 0.5) < 0.05 for v in share(loose).values())
