@@ -23,7 +23,9 @@ opaque strings of no known format.
 Defined results: a null or empty text has no finding; equal strings in one text
 are one finding with its number of places and the neighbours of all of them; rows that repeat a doc_id are scanned
 one by one, and each is redacted of the secrets of all of them; rows whose doc_id
-is null count as repeats of one id in this; texts of any length are scanned whole; an
+is null count as repeats of one id in this; a secret is redacted wherever its text
+has it as a whole, so not inside a longer run of letters and digits, and where two
+begin at one place the longer one counts; texts of any length are scanned whole; an
 empty table gives an empty result; further columns of the input are ignored by scan()
 and kept by redacted(), whatever their names.
 """
@@ -192,13 +194,18 @@ def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]", broad
     are; beyond that only rows that hold a candidate are shuffled.
     """
     longest_first = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
-    secrets = stored(findings.where("is_secret").groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("secret"), longest_first).alias("secrets")), "secrets")
+    edge = lambda s, at, look: F.when(s.rlike(at), look).otherwise("")
+    quoted = lambda s: F.concat(F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    whole = lambda s: F.concat(edge(s, "^[A-Za-z0-9]", "(?<![A-Za-z0-9])"), quoted(s), edge(s, r"[A-Za-z0-9]\z", "(?![A-Za-z0-9])"))
+    found = findings.where("is_secret").groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("secret"), longest_first).alias("secrets"))
+    secrets = stored(found.select("id", F.array_join(F.transform("secrets", whole), "|").alias("pattern")), "secrets")
     wide = docs.select(F.struct(*docs.columns).alias("row"))
-    text = F.aggregate("secrets", F.col("row.text").cast("string"), lambda t, s: F.replace(t, s, F.lit(mark)))
+    plain_mark = mark.replace("\\", "\\\\").replace("$", "\\$")
+    text = F.regexp_replace(F.col("row.text").cast("string"), F.col("pattern"), F.lit(plain_mark))
 
     def replaced(rows: DataFrame, found: DataFrame) -> DataFrame:
         joined = rows.join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")), "left")
-        return joined.select(*[F.when(F.col("secrets").isNotNull(), text).otherwise(F.col("row.text")).alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+        return joined.select(*[F.when(F.col("pattern").isNotNull(), text).otherwise(F.col("row.text")).alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
     if secrets.count() <= broadcast_ids:
         return replaced(wide, F.broadcast(secrets))

@@ -32,3 +32,14 @@ def test_redaction_keeps_columns_of_any_name(spark, most):
     assert out.columns == frame.columns
     assert sorted((r.doc_id or 0, r.text, r.secrets, r.id, r.row) for r in out.collect() if r.text) == [(0, "password=[SECRET] end", "b", 1, "x"), (1, "key [SECRET] here", "a", 1, "x"), (3, "clean", None, 1, "x")]
     assert out.where("text is null").count() == 1
+
+
+def test_redaction_takes_secrets_as_wholes(spark):
+    block = "-----BEGIN PRIVATE KEY-----\nMIIEvQIBADANBg\n-----END PRIVATE KEY-----"
+    rows = [(1, "password=abc123 the word abc123x, xabc123 and abc123."), (2, f"see{block}then {block}"), (3, r"pwd: a.b\E$1(x) ends a.b\E$1(x)"), (4, "abc123 abc123-more")]
+    told = [(1, "abc123"), (2, block), (3, r"a.b\E$1(x)"), (4, "abc123"), (4, "abc123-more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    findings = spark.createDataFrame(told, "doc_id long, secret string").withColumn("is_secret", F.lit(True))
+    got = {r.doc_id: r.text for r in secrets.redacted(docs, findings, mark=r"<$0\>").collect()}
+    m = r"<$0\>"
+    assert got == {1: f"password={m} the word abc123x, xabc123 and {m}.", 2: f"see{m}then {m}", 3: f"pwd: {m} ends {m}", 4: f"{m} {m}"}
