@@ -118,20 +118,24 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     is above its tokens over the size.
     """
     cells = stored(cells.where("tokens > 0"), "cells")
-    goals = {m: stored(goal, f"target-{m}") for m, goal in goal_shares(cells, targets, temper, weights, observed).items() if m in margins}
-    now = _share(cells, observed, "weight")
+    goals = goal_shares(cells, targets, temper, weights, observed)
+    # Cells carry their targets, so a round joins nothing but the margin's sums.
+    now = _share(cells, observed, "weight").select(*MARGINS, "tokens", "weight")
+    for m in margins:
+        now = now.join(goals[m].withColumnRenamed("target", f"target_{m}"), m)
+    now = stored(now, "raked")
     for _ in range(most_rounds):
         for m in margins:
-            sums = now.groupBy(m).agg(F.sum("weight").alias("sum")).join(goals[m], m)
-            factor = sums.select(m, F.coalesce(F.col("target") / F.nullif("sum", F.lit(0.0)), F.lit(0.0)).alias("factor"))
+            factor = now.groupBy(m).agg(F.sum("weight").alias("sum"), F.first(f"target_{m}").alias("goal")).select(m, F.coalesce(F.col("goal") / F.nullif("sum", F.lit(0.0)), F.lit(0.0)).alias("factor"))
             grown = F.col("weight") * F.col("factor")
             now = now.join(factor, m).withColumn("weight", grown if size is None else F.least(grown, F.col("tokens") / F.lit(size))).drop("factor")
-        now = stored(now.select(*MARGINS, "tokens", "weight"), "raked")
-        apart = [now.groupBy(m).agg(F.sum("weight").alias("sum")).join(goals[m], m).select(F.abs(F.col("sum") - F.col("target")).alias("off")) for m in margins]
-        off = reduce(DataFrame.unionByName, apart).agg(F.max("off")).first()[0]
+        now = stored(now.select(*MARGINS, "tokens", "weight", *(f"target_{m}" for m in margins)), "raked")
+        values = F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value"), F.col(f"target_{m}").alias("target")) for m in margins])
+        sums = now.select("weight", F.explode(values).alias("v")).groupBy("v").agg(F.sum("weight").alias("sum"))
+        off = sums.agg(F.max(F.abs(F.col("sum") - F.col("v.target")))).first()[0]
         if off is None or off <= tolerance:
             break
-    return now
+    return now.select(*MARGINS, "tokens", "weight")
 
 
 def stated_first(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
