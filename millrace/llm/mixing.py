@@ -110,28 +110,33 @@ def goal_shares(cells: DataFrame, targets: dict[str, dict[str, float]] | None =
     return {m: target_shares(cells, m, (targets or {}).get(m), temper[m], weights.get(m, {}), observed) for m in MARGINS}
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, weights: dict[str, dict[str, float]] | None = None, tolerance: float = 2e-3, most_rounds: int = 12, size: float | None = None, observed: str = "tokens", margins: tuple[str, ...] = MARGINS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, weights: dict[str, dict[str, float]] | None = None, tolerance: float = 2e-3, most_rounds: int = 12, size: float | None = None, observed: str = "tokens", margins: tuple[str, ...] = MARGINS, task_cells: int = 100_000) -> DataFrame:
     """Adds weight to cells (margins, tokens): raked shares of the token total, from those of the column `observed`.
 
     Stops when every margin is within tolerance of its target, or, where empty
     cells make that impossible, after most_rounds. With a size, no cell's weight
-    is above its tokens over the size.
+    is above its tokens over the size. Up to task_cells cells are one partition,
+    so that a round shuffles and broadcasts nothing; beyond, sums are shuffled.
     """
     cells = stored(cells.where("tokens > 0"), "cells")
+    small = cells.count() <= task_cells
+    cells = cells.coalesce(1) if small else cells
     goals = goal_shares(cells, targets, temper, weights, observed)
     # Cells carry their targets, so a round joins nothing but the margin's sums.
     now = _share(cells, observed, "weight").select(*MARGINS, "tokens", "weight")
     for m in margins:
-        now = now.join(goals[m].withColumnRenamed("target", f"target_{m}"), m)
+        goal = goals[m].withColumnRenamed("target", f"target_{m}")
+        now = now.join(goal.hint("merge") if small else goal, m)
     now = stored(now, "raked")
     for _ in range(most_rounds):
+        now = now.coalesce(1) if small else now
         for m in margins:
             factor = now.groupBy(m).agg(F.sum("weight").alias("sum"), F.first(f"target_{m}").alias("goal")).select(m, F.coalesce(F.col("goal") / F.nullif("sum", F.lit(0.0)), F.lit(0.0)).alias("factor"))
             grown = F.col("weight") * F.col("factor")
-            now = now.join(factor, m).withColumn("weight", grown if size is None else F.least(grown, F.col("tokens") / F.lit(size))).drop("factor")
+            now = now.join(factor.hint("merge") if small else factor, m).withColumn("weight", grown if size is None else F.least(grown, F.col("tokens") / F.lit(size))).drop("factor")
         now = stored(now.select(*MARGINS, "tokens", "weight", *(f"target_{m}" for m in margins)), "raked")
         values = F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value"), F.col(f"target_{m}").alias("target")) for m in margins])
-        sums = now.select("weight", F.explode(values).alias("v")).groupBy("v").agg(F.sum("weight").alias("sum"))
+        sums = (now.coalesce(1) if small else now).select("weight", F.explode(values).alias("v")).groupBy("v").agg(F.sum("weight").alias("sum"))
         off = sums.agg(F.max(F.abs(F.col("sum") - F.col("v.target")))).first()[0]
         if off is None or off <= tolerance:
             break

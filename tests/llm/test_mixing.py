@@ -51,11 +51,12 @@ def rows(spark):
 
 
 @pytest.mark.parametrize("stated", [{}, {"lang": {"en": 0.4, "de": 0.3}}, {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, "topic": {"general": 0.5}}])
-def test_weights_equal_plain_fitting(rows, stated):
+@pytest.mark.parametrize("task_cells", [100_000, 0])
+def test_weights_equal_plain_fitting(rows, stated, task_cells):
     cells = rows.groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     plain = {(r.source, r.lang, r.topic): r.tokens for r in cells.collect() if r.tokens}
     want = plain_rake(plain, plain_targets(plain, stated))
-    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, stated).collect()}
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, stated, task_cells=task_cells).collect()}
     assert got == pytest.approx(want, abs=1e-9)
 
 
