@@ -68,7 +68,7 @@ def first_k(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.nd
     return row[place < k], column[place < k]
 
 
-def _met(k: int, least: float):
+def _met(k: int, least: float, by_id: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -85,15 +85,17 @@ def _met(k: int, least: float):
                 allowed = np.array([[True] * (len(names) + 1) if not w else [*(n in set(w) for n in names), False] for w in wanted])
                 if not allowed.all():
                     scores[~allowed[:, codes]] = -np.inf
-                row, column = first_k(scores, k, max(least, -2.0))
+                # Columns ascend by id: where every score that is enough counts alike, the first ids come first.
+                row, column = first_k((scores >= max(least, -2.0)) * 1.0, k, 1.0) if by_id else first_k(scores, k, max(least, -2.0))
                 yield pa.record_batch([batch.column("qids")[i].values.take(pa.array(row)), ids.take(pa.array(order[column])), pa.array(scores[row, column])], names=["qid", "chunk_id", "score"])
 
     return run
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, min_score: float, broadcast_bytes: int = 64 << 20, salts: int = 32) -> DataFrame:
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, min_score: float, broadcast_bytes: int = 64 << 20, salts: int = 32, by_id: bool = False) -> DataFrame:
     """qid, chunk_id, score: for each query at least its k best chunks by cosine (6 decimals) of min_score or more; ties by chunk_id.
 
+    by_id: of the chunks of min_score or more, those with the smallest ids.
     queries (qid, topic_id, sub_topics, embedding), chunks (chunk_id,
     topic_id, sub_topic_id, embedding). The caller cuts the rows to k.
     """
@@ -110,4 +112,4 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, min_score: float, bro
     else:
         salted = questions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         pairs = found.withColumn("salt", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(salts)).cast("int")).join(salted, ["topic", "size", "salt"])
-    return pairs.select("size", "asked", "qids", "wanted", "vectors", "ids", "sub").mapInArrow(_met(k, min_score), f"qid long, chunk_id {kind}, score double")
+    return pairs.select("size", "asked", "qids", "wanted", "vectors", "ids", "sub").mapInArrow(_met(k, min_score, by_id), f"qid long, chunk_id {kind}, score double")
