@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import re
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 PARENT = ("\n\n", "\n", ". ", " ")
 CHILD = (*PARENT, "")
 _WORD = re.compile(r"\w+|[^\w\s]")
+#: Rows whose pieces are held and sent on at once, whatever the rows of an Arrow batch.
+ROWS = 100
 COUNTERS: dict[str, Callable[[str], int]] = {"words": lambda s: len(_WORD.findall(s)), "chars": len}
 #: How byte-level vocabularies part a text before they merge: a public, fixed pattern.
 PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,14 +115,22 @@ def markdown_sections(text: str) -> list[tuple[str, dict[str, str]]]:
     return merged
 
 
+def _few(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.Series, ...]]:
+    """Batches of columns in slices of at most ROWS rows."""
+    for part in parts:
+        for at in range(0, len(part[0]), ROWS):
+            yield tuple(column.iloc[at : at + ROWS] for column in part)
+
+
 def split_column(text: Column, size: Column, overlap: Column, children: bool, name: str = "words") -> Column:
     """Array of chunks; null where the overlap is over the size."""
     separators = CHILD if children else PARENT
 
     @F.pandas_udf("array<string>")
-    def run(t: pd.Series, s: pd.Series, o: pd.Series) -> pd.Series:
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         count = counter(name)
-        return pd.Series([None if b > a else split_text(x or "", separators, int(a), int(b), count) for x, a, b in zip(t, s, o, strict=True)])
+        for t, s, o in _few(parts):
+            yield pd.Series([None if b > a else split_text(x or "", separators, int(a), int(b), count) for x, a, b in zip(t, s, o, strict=True)], dtype=object)
 
     return run(text, size, overlap)
 
@@ -129,8 +139,9 @@ def sections_column(text: Column) -> Column:
     """Array of sections with their headers."""
 
     @F.pandas_udf("array<struct<content:string,headers:map<string,string>>>")
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: [{"content": c, "headers": h} for c, h in markdown_sections(x or "")])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for (t,) in _few((part,) for part in parts):
+            yield pd.Series([[{"content": c, "headers": h} for c, h in markdown_sections(x or "")] for x in t], dtype=object)
 
     return run(text)
 
@@ -139,13 +150,14 @@ def parents_column(text: Column, is_markdown: Column, size: Column, name: str =
     """Array of parents (content, headers) of each document: inside sections where it is markdown."""
 
     @F.pandas_udf("array<struct<content:string,headers:map<string,string>>>")
-    def run(t: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         count = counter(name)
-        out = []
-        for x, marked, most in zip(t, m, s, strict=True):
-            sections = markdown_sections(x or "") if marked else [(x or "", {})]
-            out.append([{"content": c, "headers": h} for content, h in sections for c in split_text(content, PARENT, int(most), 0, count)])
-        return pd.Series(out, index=t.index, dtype=object)
+        for t, m, s in _few(parts):
+            out = []
+            for x, marked, most in zip(t, m, s, strict=True):
+                sections = markdown_sections(x or "") if marked else [(x or "", {})]
+                out.append([{"content": c, "headers": h} for content, h in sections for c in split_text(content, PARENT, int(most), 0, count)])
+            yield pd.Series(out, dtype=object)
 
     return run(text, is_markdown, size)
 
