@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from urllib.parse import unquote
 
@@ -110,8 +110,9 @@ def version_of(spark: SparkSession, path: str, writer: str, batch: int) -> int |
     return None
 
 
-def write_version(spark: SparkSession, path: str, tables: dict[str, tuple[DataFrame, set[tuple[str, str]]]], writer: str = "", batch: int | None = None) -> int:
+def write_version(spark: SparkSession, path: str, tables: dict[str, tuple[DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame], set[tuple[str, str]]]], writer: str = "", batch: int | None = None) -> int:
     """A new version; tables has rows by table name, and the partitions whose rows these are. All other partitions stay where they are.
+    Rows may be a function: it is given what reads back this version's rows of an earlier table.
 
     A batch that its writer has written already changes nothing: its version is
     returned. A named partition without rows is gone from the new version.
@@ -121,12 +122,13 @@ def write_version(spark: SparkSession, path: str, tables: dict[str, tuple[DataFr
     if batch is not None and (found := version_of(spark, path, writer, batch)) is not None:
         return found
     number = done[-1] + 1 if done else 0
+    written = lambda name: conform(spark.read.schema(TABLES[name]).parquet(f"{path}/{name}/version={number}"), name)
     entries = [(r.table_name, r.topic_id, r.sub_topic_id, r.folder, r.writer, r.batch) for r in old if r.folder and not (r.table_name in tables and (r.topic_id, r.sub_topic_id) in tables[r.table_name][1])]
     for name, (rows, touched) in tables.items():
         if not touched:
             continue
         where = f"{name}/version={number}"
-        whole = conform(rows, name)
+        whole = conform(rows(written) if callable(rows) else rows, name)
         # A partition is a file or, where it is large, several; postings are dealt out and sorted by token already.
         dealt = whole if name == "postings" else whole.hint("rebalance", *PARTITION)
         dealt.write.mode("overwrite").partitionBy(*PARTITION).parquet(f"{path}/{where}")
