@@ -162,6 +162,26 @@ def parents_column(text: Column, is_markdown: Column, size: Column, name: str =
     return run(text, is_markdown, size)
 
 
+_KEY = ["topic_id", "sub_topic_id", "source"]
+
+
+def document_parents(docs: DataFrame, name: str = "words") -> DataFrame:
+    """Parents of documents with chunk_size, chunk_overlap, parent_chunk_size columns; the first two go with them."""
+    from millrace.functions.text import row_id
+
+    marked = F.coalesce(F.col("is_markdown"), F.lit(False)) if "is_markdown" in docs.columns else F.lit(False)
+    found = docs.where(F.col("chunk_overlap") <= F.col("chunk_size")).select(*_KEY, "chunk_size", "chunk_overlap", F.posexplode(parents_column(F.col("text"), marked, F.col("parent_chunk_size"), name)).alias("parent_index", "parent"))
+    return found.select(*_KEY, "chunk_size", "chunk_overlap", "parent_index", "parent.*").withColumn("parent_id", row_id(*map(F.col, [*_KEY, "parent_index"])))
+
+
+def parent_chunks(parents: DataFrame, name: str = "words") -> DataFrame:
+    """Chunks of document_parents."""
+    from millrace.functions.text import row_id
+
+    chunks = parents.select("parent_id", *_KEY, F.posexplode(split_column(F.col("content"), F.col("chunk_size"), F.col("chunk_overlap"), True, name)).alias("child_index", "content"))
+    return chunks.withColumn("chunk_id", row_id(F.col("parent_id"), F.col("child_index")))
+
+
 def chunk_documents(docs: DataFrame, name: str = "words") -> tuple[DataFrame, DataFrame]:
     """(parents, chunks) of documents with chunk_size, chunk_overlap, parent_chunk_size columns.
 
@@ -169,11 +189,5 @@ def chunk_documents(docs: DataFrame, name: str = "words") -> tuple[DataFrame, Da
     headers; plain documents have an empty map. A document whose overlap is over
     its chunk size gives nothing.
     """
-    from millrace.functions.text import row_id
-
-    key = ["topic_id", "sub_topic_id", "source"]
-    marked = F.coalesce(F.col("is_markdown"), F.lit(False)) if "is_markdown" in docs.columns else F.lit(False)
-    found = docs.where(F.col("chunk_overlap") <= F.col("chunk_size")).select(*key, "chunk_size", "chunk_overlap", F.posexplode(parents_column(F.col("text"), marked, F.col("parent_chunk_size"), name)).alias("parent_index", "parent"))
-    parents = found.select(*key, "chunk_size", "chunk_overlap", "parent_index", "parent.*").withColumn("parent_id", row_id(*map(F.col, [*key, "parent_index"])))
-    chunks = parents.select("parent_id", *key, F.posexplode(split_column(F.col("content"), F.col("chunk_size"), F.col("chunk_overlap"), True, name)).alias("child_index", "content"))
-    return parents.drop("chunk_size", "chunk_overlap"), chunks.withColumn("chunk_id", row_id(F.col("parent_id"), F.col("child_index")))
+    parents = document_parents(docs, name)
+    return parents.drop("chunk_size", "chunk_overlap"), parent_chunks(parents, name)

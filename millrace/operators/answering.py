@@ -48,9 +48,8 @@ def answer_prepared(
     open_ = asked.where("has_config and size(embedding) > 0").join(hits, "qid", "left_anti")
     keyword = retrieval.keyword_topk(open_, chunks) if posted is None else retrieval.posted_topk(open_, *posted)
     fused = retrieval.fuse(retrieval.vector_topk(open_, chunks, 30, min_score), keyword)
-    kept = retrieval.rerank(fused, open_, chunks, score_model).join(chunks.select("chunk_id", "parent_id"), "chunk_id")
-    found = staged(retrieval.expand_parents(kept, parents), "found")
-    context = retrieval.build_context(found).join(retrieval.cite_sources(found), "qid")
+    found, context = retrieval.fetch_context(retrieval.rerank(fused, open_, chunks, score_model, carried=("parent_id",)), parents)
+    context = context.join(retrieval.cite_sources(found), "qid")
     made = open_.select("qid", "query").join(context, "qid").withColumn("answer", generate(render(template, context_str=F.col("context"), query=F.col("query")), answer_model)).select("qid", "answer", "sources", F.col("n_parents").alias("found"))
     rows = asked.select("qid", "topic_id", "has_config", "embedding").join(hits, "qid", "left").join(made, "qid", "left")
     flags = rows.withColumns({"service_ok": F.col("embedding").isNotNull(), "failed": F.lit(False), "has_embedding": F.size("embedding") > 0, "cached": F.col("cached_answer").isNotNull(), "n_context": F.coalesce("found", F.lit(0)), "generated": F.col("answer").isNotNull()})

@@ -3,8 +3,10 @@
 Vectors are packed into blocks, a topic and a length each; blocks of questions
 meet blocks of candidates by a join on both, and numpy takes the first k of
 every question in a pair of blocks. So candidates are scanned once whatever the
-number of questions, nothing comes to the driver, and what a pair sends on is
-k rows a question at most. Spark cuts these to k again before its shuffle.
+number of questions, nothing comes to the driver, and a task holds the first k of
+each question over all blocks that it meets and sends these on at its end. Tasks
+are TASKS for each core at most, so what is shuffled grows with the questions and
+not with their product with the files of candidates.
 
 Questions are broadcast while their vectors fit `broadcast_bytes`. More of them
 are dealt to salted topics, so that a topic with a third of all rows is many
@@ -21,11 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of vectors in a block, of either side.
 BLOCK_BYTES = 2 << 20
+#: Tasks a core that scan candidates, and hits that a task holds before it sends them on.
+TASKS = 2
+MOST_HELD = 2_000_000
 
 
 def _packed(rows: DataFrame, key: str, scope: str, kind: str) -> DataFrame:
@@ -56,11 +62,12 @@ def _packed(rows: DataFrame, key: str, scope: str, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"topic string, size int, {kind}, vectors binary")
 
 
-def first_k(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest scores of each row that are `least` or more; ties go to earlier columns."""
+def first_k(scores: np.ndarray, k: int, least: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest scores of each row that are `least` (one for all, or one a row) or more; ties go to earlier columns."""
     floor = np.full(len(scores), least)
-    if scores.shape[1] > k:
-        floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+    many = np.flatnonzero(np.count_nonzero(scores >= floor[:, None], axis=1) > k)
+    if len(many):
+        floor[many] = -np.partition(-scores[many], k - 1, axis=1)[:, k - 1]
     row, column = np.nonzero(scores >= floor[:, None])
     order = np.lexsort((column, -scores[row, column], row))
     row, column = row[order], column[order]
@@ -68,15 +75,42 @@ def first_k(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.nd
     return row[place < k], column[place < k]
 
 
+class _Held:
+    """The first k hits of each question of a block, over the candidates met so far: rows of (row, score, id)."""
+
+    def __init__(self, qids: pa.Array, k: int, by_id: bool) -> None:
+        self.qids, self.k, self.hits = qids, k, None
+        self.order = [("row", "ascending"), *([] if by_id else [("score", "descending")]), ("id", "ascending")]
+        self.floor = np.full(len(qids), -np.inf)
+        self.by_id = by_id
+
+    def add(self, row: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        both = pa.table({"row": row, "score": score, "id": ids})
+        if self.hits is not None:
+            both = pa.concat_tables([self.hits, both]).combine_chunks()
+        both = both.take(pc.sort_indices(both, sort_keys=self.order))
+        row = both.column("row").to_numpy()
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        self.hits = both.filter(pa.array(place < self.k)).combine_chunks()
+        if not self.by_id:  # what scores less than a question's k-th is no hit of it any more
+            last = place == self.k - 1
+            self.floor[row[last]] = both.column("score").to_numpy()[last]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for part in self.hits.to_batches(max_chunksize=100_000):
+            yield pa.record_batch([self.qids.take(part.column("row")), part.column("id"), part.column("score")], names=["qid", "chunk_id", "score"])
+
+
 def _met(k: int, least: float, by_id: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, _Held] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 size = batch.column("size")[i].as_py()
                 asked = np.frombuffer(batch.column("asked")[i].as_buffer()).reshape(-1, size)
                 found = np.frombuffer(batch.column("vectors")[i].as_buffer()).reshape(-1, size)
                 ids = batch.column("ids")[i].values
-                order = np.array(pa.compute.sort_indices(ids))
+                order = np.array(pc.sort_indices(ids))
                 scores = np.round(asked @ found[order].T, 6)
                 subs = batch.column("sub")[i].values.take(pa.array(order)).dictionary_encode()
                 names = subs.dictionary.to_pylist()
@@ -85,9 +119,16 @@ def _met(k: int, least: float, by_id: bool):
                 allowed = np.array([[True] * (len(names) + 1) if not w else [*(n in set(w) for n in names), False] for w in wanted])
                 if not allowed.all():
                     scores[~allowed[:, codes]] = -np.inf
+                qids = batch.column("qids")[i].values
+                best = held.setdefault(qids.to_numpy(zero_copy_only=False).tobytes() + asked[:1].tobytes(), _Held(qids, k, by_id))
                 # Columns ascend by id: where every score that is enough counts alike, the first ids come first.
-                row, column = first_k((scores >= max(least, -2.0)) * 1.0, k, 1.0) if by_id else first_k(scores, k, max(least, -2.0))
-                yield pa.record_batch([batch.column("qids")[i].values.take(pa.array(row)), ids.take(pa.array(order[column])), pa.array(scores[row, column])], names=["qid", "chunk_id", "score"])
+                row, column = first_k((scores >= max(least, -2.0)) * 1.0, k, 1.0) if by_id else first_k(scores, k, np.maximum(best.floor, max(least, -2.0)))
+                if len(row):
+                    best.add(row, scores[row, column], ids.take(pa.array(order[column])))
+            if sum(len(b.hits) for b in held.values() if b.hits is not None) > MOST_HELD:
+                yield from (x for b in held.values() if b.hits is not None for x in b.batches())
+                held.clear()
+        yield from (x for b in held.values() if b.hits is not None for x in b.batches())
 
     return run
 
@@ -106,7 +147,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, min_score: float, bro
     # Blocks of a topic, full ones where there are many questions; a frequent topic is more than one task.
     dealt = asked.repartition("topic", F.pmod(F.xxhash64("qids"), F.lit(1 + held // (4 * BLOCK_BYTES))))
     questions = _packed(dealt, "qids", "wanted", "qids array<long>, wanted array<array<string>>").withColumnRenamed("vectors", "asked")
-    found = _packed(rows, "ids", "sub", f"ids array<{kind}>, sub array<string>")
+    found = _packed(rows.coalesce(TASKS * rows.sparkSession.sparkContext.defaultParallelism), "ids", "sub", f"ids array<{kind}>, sub array<string>")
     if held <= broadcast_bytes:
         pairs = found.join(F.broadcast(questions), ["topic", "size"])
     else:

@@ -21,10 +21,13 @@ def staging_folder(spark: SparkSession) -> str:
 
 
 def staged(rows: DataFrame, name: str) -> DataFrame:
-    """rows computed once, written as Parquet and read back; steps that follow start from there."""
+    """rows computed once, written as Parquet and read back; steps that follow start from there.
+
+    Ids are digests as hex text, of which zstd leaves half and snappy all.
+    """
     spark = rows.sparkSession
     path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
