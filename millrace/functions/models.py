@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_text, fallback_keywords, history_text, keywords
+from millrace.functions.text import clean_text, fallback_keywords, history_text, keywords, render, strip
 
 
 def hashed_embedding(texts: list[str], size: int = 64) -> np.ndarray:
@@ -125,18 +125,23 @@ def generate(prompt: Column, model: Callable[[list[str]], list[str]] = extract_a
     return run(prompt)
 
 
-def rewrite_query(query: Column, history: Column, model: Callable[[list[str]], list[str]] | None = None) -> Column:
-    """The query as it stands without a history or model, else the model's text for history and query."""
+def last_words(prompts: list[str]) -> list[str]:
+    """Stand-in for rewriting: the last 400 characters of the prompt, which are the query and what was said before. No meaning is claimed."""
+    return [p[-400:] for p in prompts]
+
+
+def rewrite_query(query: Column, history: Column, model: Callable[[list[str]], list[str]] | None = None, template: str = "{history_str}\n{query}") -> Column:
+    """The query as it stands without a history or model, else the model's text for the template with history and query."""
     if model is None:
         return query
-    asked = generate(F.concat_ws("\n", history_text(history), query), model)
+    asked = strip(generate(render(template, history_str=history_text(history), query=query), model))
     return F.when(F.coalesce(F.size(history), F.lit(0)) <= 0, query).otherwise(F.coalesce(asked, query))
 
 
-def ask_keywords(query: Column, model: Callable[[list[str]], list[str]] | None = None) -> Column:
-    """Keywords of the model's answer, or of the query itself without a model or where it fails."""
+def ask_keywords(query: Column, model: Callable[[list[str]], list[str]] | None = None, template: str = "{query}") -> Column:
+    """Keywords of the model's answer to the template with the query, or of the query itself without a model or where it fails."""
     plain = fallback_keywords(query)
-    return plain if model is None else F.coalesce(keywords(generate(query, model)), plain)
+    return plain if model is None else F.coalesce(keywords(generate(render(template, query=query), model)), plain)
 
 
 def ocr(content: Column, model: Callable[[list[bytes]], list[str]]) -> Column:
